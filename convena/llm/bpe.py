@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -20,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens that a Python worker remembers, in two generations of half as many; bounds its memory to some 100 MB.
-REMEMBERED = 400_000
+#: Distinct pre-tokens that a Python worker remembers, in two generations of half as many; bounds its memory to some 250 MB.
+REMEMBERED = 1_200_000
 #: Pre-tokens over so many bytes are not remembered.
 REMEMBERED_BYTES = 256
-WORD = 256  # ranks in a word of the bitmap
+WORD_BITS, WORD_MASK = 8, 255  # a word of the bitmap has 256 ranks
 
 
 class Encoder:
@@ -36,67 +37,56 @@ class Encoder:
         for piece, rank in pieces.items():
             self.bytes_of[rank] = piece
         self.words = Remembered(self)
-        self.ids_of_byte = [pieces[bytes([b])] for b in range(256)]
+        self.sizes = [len(x) for x in self.bytes_of]
+        self.words_of_bitmap = (len(self.sizes) >> WORD_BITS) + 1
 
     def ids(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the pair of least rank merges, the leftmost of equal ones first."""
-        pieces = self.pieces
-        whole = pieces.get(piece)
+        get, sizes = self.pieces.get, self.sizes
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        end = [*range(1, n + 1)]  # where the part that starts here ends; 0: no part starts here any more
-        back = [*range(-1, n)]  # where the part that ends here starts, by the place after its last byte less one
+        end = [*range(1, n + 1), 0]  # where the part that starts here ends; 0: no part starts here any more
+        start = [*range(-1, n)]  # where the part that ends here starts
         buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        top = 0
-
+        words, top = [0] * self.words_of_bitmap, 0
         for at in range(n - 1):
-            rank = pieces.get(piece[at : at + 2])
+            rank = get(piece[at : at + 2])
             if rank is not None:
                 if rank in buckets:
                     buckets[rank].append(at)  # in rising order, which is a heap
                 else:
                     buckets[rank] = [at]
-                    words[rank // WORD] = words.get(rank // WORD, 0) | 1 << rank % WORD
-                    top |= 1 << rank // WORD
+                    words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
+                    top |= 1 << (rank >> WORD_BITS)
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
             bit = bits & -bits
-            rank = word * WORD + bit.bit_length() - 1
+            rank = (word << WORD_BITS) + bit.bit_length() - 1
             bucket = buckets[rank]
-            merged = self.bytes_of[rank]
-            size = len(merged)
-            while bucket:
-                at = heappop(bucket)
-                middle = end[at]
-                if not middle or middle >= n or at + size > n or end[middle] != at + size or piece[at : at + size] != merged:
-                    continue  # stale: one of the parts has merged with another since
-                stop = at + size
-                end[at], end[middle] = stop, 0
-                back[stop] = at
-                before = back[at] if at else -1
-                for left, right in ((before, stop), (at, end[stop] if stop < n else 0)):
-                    if left >= 0 and right:
-                        new = pieces.get(piece[left:right])
-                        if new is not None:
-                            if new not in buckets or not buckets[new]:
-                                buckets[new] = [left]
-                                words[new // WORD] = words.get(new // WORD, 0) | 1 << new % WORD
-                                top |= 1 << new // WORD
-                            else:
-                                heappush(buckets[new], left)
-                if (top & -top).bit_length() - 1 < word or words[word] & (bit - 1):
-                    break  # a lower rank has come up
-                bucket = buckets[rank]
-            if not buckets[rank]:
-                words[word] &= ~bit
-                if not words[word]:
-                    top &= ~(1 << word)
+            at = heappop(bucket)
+            if not bucket:
+                words[word] = bits ^ bit
+                if bits == bit:
+                    top ^= 1 << word
+            middle, stop = end[at], at + sizes[rank]
+            if not middle or end[middle] != stop:
+                continue  # stale: one of the parts has merged with another since
+            end[at], end[middle], start[stop] = stop, 0, at
+            before, after = start[at], end[stop]
+            for left, right in ((before, stop), (at, after)):
+                if left >= 0 and right and (new := get(piece[left:right])) is not None:
+                    if buckets.get(new):
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new] = [left]
+                        words[new >> WORD_BITS] |= 1 << (new & WORD_MASK)
+                        top |= 1 << (new >> WORD_BITS)
         out, at = [], 0
         while at < n:
-            out.append(pieces[piece[at : end[at]]])
+            out.append(get(piece[at : end[at]]))
             at = end[at]
         return out
 
@@ -119,7 +109,7 @@ class Remembered(dict):
         ids = self.old.get(word)
         if ids is None:
             piece = word.encode("utf-8", "replace")
-            ids = np.asarray(self.encoder.ids(piece), dtype="<u4").tobytes()
+            ids = struct.pack(f"<{len(found := self.encoder.ids(piece))}I", *found)
             if len(piece) > REMEMBERED_BYTES:
                 return ids
         if len(self) >= REMEMBERED // 2:
