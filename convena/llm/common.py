@@ -50,3 +50,25 @@ def remainder(doc_id: str, modulus: int) -> Column:
 def keys_range(n: int) -> Column:
     """0 .. n-1 as an array, empty for 0."""
     return F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """(_node, _root): the least node that each node of the undirected edges (_a, _b) reaches; large and small stars by turns until nothing changes."""
+
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
+        """Each node passes its least neighbour (itself included) to its larger neighbours, or to itself and its smaller ones."""
+        both = pairs.select("_a", "_b").unionByName(pairs.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))) if large else pairs.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b"))
+        least = both.groupBy("_a").agg(F.min("_b").alias("_m")).select("_a", F.least("_a", "_m").alias("_m"))
+        met = both.join(least, "_a")
+        new = met.filter("_b > _a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")) if large else met.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).unionByName(least.select("_a", F.col("_m").alias("_b")))
+        return new.filter("_a <> _b").distinct()
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first())
+
+    now = materialise(edges.select("_a", "_b").filter("_a <> _b").distinct(), tag)
+    before, after = None, state(now)
+    while before != after:
+        now = materialise(star(star(now, True), False), tag)
+        before, after = after, state(now)
+    return now.select(F.col("_a").alias("_node"), F.col("_b").alias("_root")).unionByName(now.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())
