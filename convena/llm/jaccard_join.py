@@ -4,7 +4,7 @@ Jaccard distance is a metric. With threshold t, linked sets lie within e = 1 - t
 of sizes, and one near a ring's lower edge is replicated to the ring below. Pivots drawn from documents can't part a corpus (nearly all texts are at distance 1 from any of them, so triangle
 windows would replicate all to all; see the README), hence the first regions are those of projected pivots: the universe of shingles falls into more classes than linked sets of a
 ring can differ in shingles, so linked sets agree entirely in a class. Each distinct projection is a pivot, its Voronoi region holds the sets at distance 0 from it there, and linked
-sets share a region. Regions that share sets form a cluster.
+sets share regions: so many that a set with fewer recurring regions drops out. Regions that share sets form a cluster.
 
 Clusters join exactly in one task: sets are sorted by their distance to a pivot document, and by the triangle inequality a set is compared only with the window of sets whose distance differs by
 e at most. A cluster too large for that is parted recursively: each set goes to the Voronoi region of its nearest pivot document and, if it lies within 2e of the
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded, components, materialise, with_row_id
 
-#: Ratio of the sizes at a ring's edges, and classes of a ring beyond those that linked sets can differ in: sets with more empty classes than SPARE less one meet separately.
-RING, SPARE = Fraction(3, 2), 3
+#: Ratio of the sizes at a ring's edges.
+RING = Fraction(3, 2)
+#: A ring has more classes than linked sets can differ in: by a quarter of that number, three at least. So linked sets share many regions, and a set that shares few has no link.
+SPARE, SPARE_SHARE = 3, 4
 #: Shingles that the sets of a region joined in one task may have together; beyond that it is parted.
 REGION_SHINGLES = 1 << 21
-#: Pivot documents of a parted region, and how often regions are parted before they are joined by blocks.
-PIVOTS, DEPTH = 8, 3
+#: Pivot documents of a parted region.
+PIVOTS = 8
 #: Recurring regions that may be sent to every task.
 BROADCAST_REGIONS = 1 << 21
 CHUNK = 1 << 19
@@ -51,10 +53,10 @@ class Threshold(NamedTuple):
         """Least intersection of linked sets whose sizes sum to ``total``."""
         return -(-self.part * total // (self.part + self.whole))
 
-    def classes(self, top: int) -> int:
-        """Classes of a ring whose smaller sets have up to ``top`` shingles."""
+    def differing(self, top: int) -> int:
+        """Most shingles that one of two linked sets has and the other has not, if the smaller has up to ``top``."""
         total = top + top * self.whole // self.part
-        return max(s - 2 * self.common(s) for s in range(max(total - 40, 0), total + 1)) + SPARE
+        return max(s - 2 * self.common(s) for s in range(max(total - 40, 0), total + 1))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -130,36 +132,42 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def _rings(threshold: Threshold, largest: int = 1 << 40) -> list[tuple[int, int]]:
-    """(least size above the ring, classes) of each ring from the smallest sizes up."""
+def _rings(threshold: Threshold, largest: int = 1 << 40) -> list[tuple[int, int, int]]:
+    """(least size above the ring, shingles that linked sets can differ in, classes) of each ring from the smallest sizes up."""
     rings, low = [], 1
     while low < largest:
         high = max(low + 1, -(-low * RING.numerator // RING.denominator))
-        rings.append((high, threshold.classes(high - 1)))
+        most = threshold.differing(high - 1)
+        rings.append((high, most, most + max(SPARE, most // SPARE_SHARE)))
         low = high
     return rings
 
 
-def regions(own: np.ndarray, threshold: Threshold, rings: list[tuple[int, int]]) -> np.ndarray:
-    """Names of the regions that a set belongs to."""
+def regions(own: np.ndarray, threshold: Threshold, rings: list[tuple[int, int, int]]) -> list[tuple[int, int, np.ndarray]]:
+    """(ring, least number of regions shared with a linked set, names of regions) of a set, for each ring that it belongs to.
+
+    Sets that link agree in all classes but those that hold a differing shingle; classes that are empty in both name no region. A set with so many empty classes that no region would be left has one more, which all of its kind share.
+    """
     n = len(own)
     least = -(-threshold.part * n // threshold.whole)  # size of the smallest set that it can link to
-    names = []
-    for i, (above, classes) in enumerate(rings):
+    found = []
+    for i, (above, most, classes) in enumerate(rings):
         if above <= least:
             continue
-        if classes > SPARE:  # else linked sets of the ring are equal
+        if most:  # else linked sets of the ring are equal
             of = ((own >> np.uint64(32)) * np.uint64(classes) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(of, kind="stable")
             of = of[order]
             cuts = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
             sums = np.add.reduceat(_mixed(own + np.uint64(FACTOR))[order], cuts)
-            names.append(_mixed(sums + _mixed((of[cuts] + (i << 40)).astype(np.uint64))))
-            if classes - len(cuts) >= SPARE:
-                names.append(_mixed(np.array([i + (1 << 62)], np.uint64)))
+            names = _mixed(sums + _mixed((of[cuts] + (i << 40)).astype(np.uint64)))
+            need = len(cuts) - most
+            if need <= 0:
+                names = np.append(names, _mixed(np.array([i + (1 << 62)], np.uint64)))
+            found.append((i, max(need, 1), names))
         if above > n:
             break
-    return np.concatenate(names) if names else np.zeros(0, np.uint64)
+    return found
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -187,22 +195,30 @@ def _describe(words: int):
 
 
 def _keys(words: int, threshold: Threshold, named: bool):
-    """Names of all regions of all sets, with the first half of the set's fingerprint if ``named``."""
+    """Names of all regions of all sets; if ``named``, with the ring, the least number of shared regions and the first half of the set's fingerprint."""
     rings = _rings(threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate([x for *_, x in held]).view(np.int64))]
+            if named:
+                counts = [len(x) for *_, x in held]
+                columns += [pa.array(np.repeat(np.array([h[k] for h in held], dtype=np.int64), counts)) for k in range(3)]
+            return pa.RecordBatch.from_arrays(columns, names=["_key", "_short", "_ring", "_need"][: len(columns)])
+
+        held, size = [], 0
         for b in batches:
-            held, owners, size = [], [], 0
-            for i, own in [*_sets(b, words), (None, None)]:
-                if i is not None and len(own):
-                    found = regions(own, threshold, rings)
-                    held.append(found)
-                    owners.append(np.full(len(found), _short(_fingerprint(own))) if named else found[:0])
-                    size += len(found)
-                if held and (i is None or size > 1 << 18):
-                    columns = [pa.array(np.concatenate(held).view(np.int64))] + ([pa.array(np.concatenate(owners).astype(np.int64))] if named else [])
-                    yield pa.RecordBatch.from_arrays(columns, names=["_key", "_short"][: 1 + named])
-                    held, owners, size = [], [], 0
+            for _, own in _sets(b, words):
+                if len(own):
+                    short = _short(_fingerprint(own)) if named else 0
+                    for ring, need, names in regions(own, threshold, rings):
+                        held.append((short, ring, need, names))
+                        size += len(names)
+                    if size > 1 << 18:
+                        yield rows()
+                        held, size = [], 0
+        if held:
+            yield rows()
 
     return run
 
@@ -226,23 +242,28 @@ def _shared(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, flags: np.nda
     return found
 
 
-def join_region(prints: list[bytes], weights: list[int], sets: list[np.ndarray], home: list[bool], threshold: Threshold) -> list[tuple[bytes, bytes, int]]:
-    """(set, least set that it is linked to within the region, documents that it links to) for each set with a link. A pair is looked at where its lesser set is at home."""
+def join_region(prints: list[bytes], weights: list[int], sets: list[np.ndarray], home: list[bool], threshold: Threshold, side: list[int] | None = None) -> list[tuple[bytes, bytes, int]]:
+    """(set, least set that it is linked to within the region, documents that it links to) for each set with a link. A pair is looked at where its lesser set is at home, and in a region of two blocks (sides 1 and 2) if it has one of each."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, places = np.unique(np.concatenate(sets), return_inverse=True)
     flags = np.zeros(int(places.max()) + 1, np.uint8)
     cuts = np.cumsum(sizes) - sizes
-    # The pivot is the largest set; distances to it are kept as intersections, and the window in whole numbers errs on the side of more.
+    # The pivot is the largest set. The window of distances to it errs on the side of more.
     pivot = int(sizes.argmax())
     common = _shared(places[cuts[pivot] : cuts[pivot] + sizes[pivot]], places, cuts, flags)
-    distance = 1 - common / (sizes + sizes[pivot] - common)
-    order = np.argsort(distance, kind="stable")
-    far = distance[order]
-    flat = np.concatenate([places[cuts[i] : cuts[i] + sizes[i]] for i in order])
-    size = sizes[order]
-    at = np.append(np.cumsum(size) - size, size.sum())
+    far = 1 - common / (sizes + sizes[pivot] - common)
     reach = 1 - threshold.part / threshold.whole + 1e-9
+    # Linked sets share one of their rarest shingles, of which each has as many as it can lose and one more.
+    rarity = np.bincount(places)
+    rows = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((places, rarity[places], rows))
+    ranked, nth = places[order], np.arange(len(places)) - np.repeat(cuts, sizes)
+    lost = sizes - -(-threshold.part * sizes // threshold.whole)
+    front = (nth <= lost[rows]) & (rarity[ranked] > 1)
+    by_place = np.argsort(ranked[front], kind="stable")
+    posted, posts = rows[front][by_place], np.searchsorted(ranked[front][by_place], np.arange(len(rarity) + 1))
+    fronts, front_cuts = ranked[front], np.searchsorted(rows[front], np.arange(n + 1))
     root, links = list(range(n)), [0] * n
 
     def find(i: int) -> int:
@@ -251,15 +272,17 @@ def join_region(prints: list[bytes], weights: list[int], sets: list[np.ndarray],
             i = root[i]
         return i
 
-    for a in range(n - 1):
-        stop = int(np.searchsorted(far, far[a] + reach, side="right"))
-        if stop <= a + 1:
+    for x in range(n):
+        met = [posted[posts[p] : posts[p + 1]] for p in fronts[front_cuts[x] : front_cuts[x + 1]].tolist()]
+        near = np.unique(np.concatenate(met)) if met else posted[:0]
+        near = near[(near > x) & (np.abs(far[near] - far[x]) <= reach)]
+        near = near[(threshold.whole * sizes[near] >= threshold.part * sizes[x]) & (threshold.whole * sizes[x] >= threshold.part * sizes[near])]
+        if not len(near):
             continue
-        both = _shared(flat[at[a] : at[a + 1]], flat[at[a + 1] : at[stop]], at[a + 1 : stop] - at[a + 1], flags)
-        x = int(order[a])
-        for b in (np.nonzero(threshold.whole * both >= threshold.part * (size[a] + size[a + 1 : stop] - both))[0] + a + 1).tolist():
-            y = int(order[b])
-            if home[x if prints[x] < prints[y] else y]:
+        flat = np.concatenate([places[cuts[y] : cuts[y] + sizes[y]] for y in near.tolist()])
+        both = _shared(places[cuts[x] : cuts[x] + sizes[x]], flat, np.cumsum(sizes[near]) - sizes[near], flags)
+        for y in near[threshold.whole * both >= threshold.part * (sizes[x] + sizes[near] - both)].tolist():
+            if home[x if prints[x] < prints[y] else y] and (not side or not side[x] or side[x] != side[y]):
                 links[x] += weights[y]
                 links[y] += weights[x]
                 r, s = find(x), find(y)
@@ -279,12 +302,12 @@ def _joiner(threshold: Threshold):
         now, held = None, []
 
         def done() -> pa.RecordBatch:
-            got = join_region([x[0] for x in held], [x[1] for x in held], [np.frombuffer(x[2], np.uint64) for x in held], [x[3] for x in held], threshold) if len(held) > 1 else []
+            got = join_region([x[0] for x in held], [x[1] for x in held], [np.frombuffer(x[2], np.uint64) for x in held], [x[3] for x in held], threshold, [x[4] for x in held]) if len(held) > 1 else []
             columns = list(zip(*got, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["_set", "_least", "_links"])
 
         for b in batches:
-            for region, *rest in zip(*(b.column(c).to_pylist() for c in ("_region", "_set", "_weight", "_own", "_home")), strict=True):
+            for region, *rest in zip(*(b.column(c).to_pylist() for c in ("_region", "_set", "_weight", "_own", "_home", "_side")), strict=True):
                 if region != now:
                     if held:
                         yield done()
@@ -329,29 +352,32 @@ def _large(members: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, threshold: Threshold) -> DataFrame:
     """(_set, _least, _links) of all regions; those with too many shingles are parted first."""
-    parts, rest = [], members
-    for _ in range(DEPTH):
-        large = _large(rest)
-        if large.isEmpty():
-            parts.append(rest)
-            rest = None
-            break
-        parts.append(rest.join(bounded(large), "_region", "left_anti"))
-        big = rest.join(bounded(large.select("_region")), "_region", "left_semi")
+    large = _large(members)
+    if large.isEmpty():
+        parts = [members]
+    else:
+        parts = [members.join(bounded(large.select("_region")), "_region", "left_anti")]
+        big = members.join(bounded(large), "_region")
         first = Window.partitionBy("_region").orderBy(F.xxhash64("_set"))
         chosen = big.select("_region", "_set").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= PIVOTS).select("_region", "_set")
         pivots = materialise(big.join(chosen, ["_region", "_set"]).groupBy("_region").agg(F.collect_list(F.struct("_set", "_own")).alias("_pivots")), "op7-pivots")
-        rest = materialise(big.join(pivots, "_region").mapInArrow(_assigner(threshold), MEMBER + ", _parent long").select("_region", "_set", "_weight", "_own", "_home"), "op7-parted")
-    if rest is not None:
-        large = _large(rest)
-        parts.append(rest.join(bounded(large.select("_region")), "_region", "left_anti"))
-        # Block by block: the pair of blocks (i, j) holds both; a pair within one block counts in (i, i) only.
-        dealt = rest.join(bounded(large), "_region").withColumn("_b", F.pmod(F.xxhash64("_set"), F.col("_blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        parted = materialise(big.drop("_blocks").join(pivots, "_region").mapInArrow(_assigner(threshold), MEMBER + ", _parent long"), "op7-parted")
+        # Parting counts only where it replicates little and leaves no part too large; elsewhere it would cost more than it saves.
+        copies = parted.groupBy(F.col("_parent").alias("_region"), F.col("_region").alias("_part")).agg(F.count("*").alias("_n"), F.sum(F.octet_length("_own") / 8).alias("_total"))
+        copies = copies.groupBy("_region").agg(F.sum("_n").alias("_n"), F.max("_total").alias("_most"))
+        whole = big.groupBy("_region").agg(F.count("*").alias("_m"))
+        good = materialise(copies.join(whole, "_region").filter((F.col("_n") <= 2 * F.col("_m")) & (F.col("_most") <= REGION_SHINGLES)).select("_region"), "op7-good")
+        parts.append(parted.join(good.withColumnRenamed("_region", "_parent"), "_parent", "left_semi").select("_region", "_set", "_weight", "_own", "_home"))
+        # The rest block by block: the task of the blocks (i, j) holds both, and a pair of one block counts in (i, i) only.
+        rest = big.join(good, "_region", "left_anti").withColumn("_b", F.pmod(F.xxhash64("_set"), F.col("_blocks")))
+        dealt = rest.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
         low, high = F.least("_b", "_o"), F.greatest("_b", "_o")
-        parts.append(dealt.select(F.xxhash64("_region", low, high).alias("_region"), "_set", "_weight", "_own", "_home"))
+        parts.append(dealt.select(F.xxhash64("_region", low, high).alias("_region"), "_set", "_weight", "_own", "_home", F.when(F.col("_b") == F.col("_o"), F.lit(0)).when(F.col("_b") < F.col("_o"), F.lit(1)).otherwise(F.lit(2)).alias("_side")))
     rows = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part)
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    rows = rows if "_side" in rows.columns else rows.withColumn("_side", F.lit(0))
+    rows = rows.withColumn("_side", F.coalesce("_side", F.lit(0)))
     return rows.repartition("_region").sortWithinPartitions("_region").mapInArrow(_joiner(threshold), "_set binary, _least binary, _links long")
 
 
@@ -372,7 +398,10 @@ def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str =
     single = rows.join(bounded(copies), "_rid", "left_anti").select("_text")
     recurring = single.mapInArrow(_keys(words, threshold, False), "_key long").groupBy("_key").agg(F.count("*").alias("_c")).filter("_c > 1").select("_key")
     recurring = materialise(recurring, "op7-regions")
-    inside = materialise(single.mapInArrow(_keys(words, threshold, True), "_key long, _short long").join(bounded(recurring, BROADCAST_REGIONS), "_key", "left_semi"), "op7-inside")
+    named = single.mapInArrow(_keys(words, threshold, True), "_key long, _short long, _ring long, _need long")
+    inside = materialise(named.join(bounded(recurring, BROADCAST_REGIONS), "_key", "left_semi"), "op7-inside")
+    likely = inside.groupBy("_short", "_ring").agg(F.count("*").alias("_c"), F.max("_need").alias("_need")).filter("_c >= _need").select("_short", "_ring")
+    inside = materialise(inside.join(likely, ["_short", "_ring"], "left_semi").select("_key", "_short"), "op7-likely")
     stars = inside.join(inside.groupBy("_key").agg(F.min("_short").alias("_first")), "_key").select(F.col("_first").alias("_a"), F.col("_short").alias("_b"))
     clusters = materialise(components(stars, "op7-clusters"), "op7-clustered")
     wanted = sets.withColumnRenamed("_short", "_node").join(clusters, "_node").select("_rid", "_set", "_weight", F.col("_root").alias("_region"))
