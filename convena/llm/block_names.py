@@ -29,8 +29,8 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _named(distinct: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Sorted distinct keys with an integer name each; written, so that names hold when a task is run again."""
-    return materialise(distinct.sort(*keys).withColumn("_name", F.monotonically_increasing_id()), tag)
+    """Distinct keys, sorted within their partitions, with an integer name each: place of the partition, then rank. Written, so that names hold when a task is run again."""
+    return materialise(distinct.sortWithinPartitions(*keys).withColumn("_name", F.monotonically_increasing_id()), tag)
 
 
 def _identities(rows: DataFrame, block_bytes: int) -> DataFrame:
