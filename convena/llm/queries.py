@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, block_names, bpe, jaccard_join, langid, packing, suffixes, url_filter
+from . import ann, block_names, bpe, jaccard_join, langid, maxent, packing, quality, suffixes, url_filter
 from .common import remainder
 from .sql import ORACLE
 
@@ -39,12 +39,26 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good documents are of quality 1 and not toxic; the source is the host, the language the path. Labels of documents whose crc32 mod 4 is 2 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    found = quality.posteriors(docs, good, remainder("doc_id", 4) != 2, "source", "lang")
+    return found.withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return maxent.score(docs, ~F.col("held_out"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_groups(table(spark, sf_dir, "documents"), words=3, threshold=jaccard_join.Threshold(90, 100))
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -71,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op5_repeats": op5_repeats,
+    "op6_lm_scores": op6_lm_scores,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
