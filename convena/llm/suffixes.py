@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The WORD bytes from each place as one number, in the order of the bytes."""
-    return text[at[:, None] + np.arange(WORD)].view(">u8").ravel().astype(np.uint64)
+    return np.ndarray((len(text) - WORD + 1,), "<u8", text, strides=(1,))[at].byteswap()
 
 
 def _sorted_directly(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -259,6 +260,13 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)), kinds, strict=True)], names=["_h", "_c", "_run", "_i", "_n", "_w"])
 
 
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Masks of contexts all of whose windows recur."""
+    for b in batches:
+        masks = [np.packbits(np.ones(run, dtype=bool)).tobytes() for run in b.column("_run").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(masks, pa.binary())], names=["_h", "_c", "_run", "_mask"])
+
+
 def _masks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         masks = []
@@ -276,10 +284,15 @@ def _flagged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = materialise(found.join(bounded(recurring), "_h", "left_semi"), "op5-places")
     distinct = places.groupBy("_h", "_c", "_run").agg(F.count("*").alias("_n"), F.min(F.struct("_rid", "_pos")).alias("_at"))
     distinct = materialise(distinct.select("_h", "_c", "_run", (F.col("_n") > 1).alias("_many"), "_at._rid", "_at._pos"), "op5-distinct")
-    hot = materialise(distinct.groupBy("_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select("_h", F.lit(True).alias("_hot")), "op5-hot")
-    wanted = distinct.join(bounded(hot), "_h", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    wanted = wanted.groupBy("_rid").agg(F.collect_list(F.struct("_h", "_c", "_run", "_many", "_hot", "_pos")).alias("_cuts"))
-    cut = rows.join(wanted, "_rid").select("_text", "_cuts").mapInArrow(_cut, "_h long, _c long, _run int, _many boolean, _hot boolean, _text binary")
+    crowds = materialise(distinct.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1"), "op5-crowds")
+    # A context alone at its anchor recurs as a whole, or its anchor would not.
+    sorted_ = distinct.join(crowds.withColumn("_hot", F.col("_n") > HOT).drop("_n"), "_h", "left")
+    alone = sorted_.filter("_hot is null").select("_h", "_c", "_run").mapInArrow(_whole, FLAGGED)
+    wanted = sorted_.filter("_hot is not null").groupBy("_rid").agg(F.collect_list(F.struct("_h", "_c", "_run", "_many", "_hot", "_pos")).alias("_cuts"))
+    wanted = materialise(wanted, "op5-wanted")
+    cut = rows.join(bounded(wanted.select("_rid")), "_rid", "left_semi").join(wanted, "_rid").select("_text", "_cuts")
+    cut = cut.mapInArrow(_cut, "_h long, _c long, _run int, _many boolean, _hot boolean, _text binary")
+    hot = crowds.filter(F.col("_n") > HOT)
     has_hot = not hot.isEmpty()
     cut = materialise(cut, "op5-contexts") if has_hot else cut
     flagged = cut.filter("not _hot").repartition("_h").sortWithinPartitions("_h").mapInArrow(_sort_batches, FLAGGED)
@@ -288,7 +301,18 @@ def _flagged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         again = single.groupBy("_h", "_w").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_h", "_w")
         hits = single.join(again, ["_h", "_w"]).groupBy("_h", "_c", "_run").agg(F.collect_list("_i").alias("_hits"))
         flagged = flagged.unionByName(hits.mapInArrow(_masks, FLAGGED))
-    return places, materialise(flagged, "op5-flagged")
+    return places, materialise(flagged.unionByName(alone), "op5-flagged")
+
+
+def _starts(marks: pa.ListArray, firsts: np.ndarray) -> np.ndarray:
+    """Where the recurring windows of some texts start, if the texts start at ``firsts``."""
+    flat = marks.flatten()
+    pos, mask = flat.field("_pos").to_numpy(), flat.field("_mask")
+    sizes = pa.compute.binary_length(mask).to_numpy().astype(np.int64) * 8  # bits behind a mask's windows are 0
+    owner = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+    bits = np.nonzero(np.unpackbits(np.frombuffer(b"".join(mask.to_pylist()), np.uint8)))[0]
+    of = np.searchsorted(np.cumsum(sizes), bits, side="right")
+    return firsts[owner[of]] + pos[of] + bits - (np.cumsum(sizes) - sizes)[of]
 
 
 def _remove(batches: Iterable[pa.RecordBatch], characters: bool) -> Iterator[pa.RecordBatch]:
@@ -296,25 +320,25 @@ def _remove(batches: Iterable[pa.RecordBatch], characters: bool) -> Iterator[pa.
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            texts, spans = part.column("_text").cast(pa.binary()).to_pylist(), []
-            for i, marks in enumerate(part.column("_marks").to_pylist()):
-                if not marks:
-                    spans.append([])
-                    continue
-                data = np.frombuffer(texts[i], np.uint8)
-                change = np.zeros(len(data) + 1, dtype=np.int32)
-                for m in marks:
-                    at = m["_pos"] + np.nonzero(np.unpackbits(np.frombuffer(m["_mask"], np.uint8), count=m["_run"]))[0]
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                if characters:  # a character goes if all its bytes do
-                    lead = np.nonzero((data & 0xC0) != 0x80)[0]
-                    gone = np.repeat(np.minimum.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
-                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                spans.append([{"start": a, "end": b} for a, b in zip(np.nonzero(edge > 0)[0].tolist(), np.nonzero(edge < 0)[0].tolist(), strict=True)])
-                texts[i] = data[~gone].tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("_own"), pa.array(texts, pa.binary()), pa.array(spans, kind)], names=["_own", "kept", "spans"])
+            texts = part.column("_text").cast(pa.binary()).to_pylist()
+            sizes = np.array([len(t) + 1 for t in texts])
+            firsts = np.cumsum(sizes) - sizes
+            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+            at = _starts(pa.concat_arrays([part.column("_marks")]), firsts)
+            change = np.bincount(at, minlength=len(data)) - np.bincount(at + WINDOW, minlength=len(data))[: len(data)]
+            gone = np.cumsum(change) > 0
+            if characters:  # a character goes if all its bytes do
+                lead = np.nonzero((data & 0xC0) != 0x80)[0]
+                gone = np.repeat(np.minimum.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
+            edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
+            begin, end = np.nonzero(edge > 0)[0], np.nonzero(edge < 0)[0]
+            of = np.searchsorted(firsts, begin, side="right") - 1
+            offsets = np.searchsorted(of, np.arange(len(texts) + 1))
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - firsts[of]), pa.array(end - firsts[of])], names=["start", "end"]))
+            for i in np.unique(of).tolist():
+                own = slice(firsts[i], firsts[i] + sizes[i] - 1)
+                texts[i] = data[own][~gone[own]].tobytes()
+            yield pa.RecordBatch.from_arrays([part.column("_own"), pa.array(texts, pa.binary()), spans.cast(kind)], names=["_own", "kept", "spans"])
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", characters: bool = False) -> DataFrame:
@@ -328,8 +352,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", characters: bool = F
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     numbered = with_row_id(docs.select(F.struct(*own).alias("_own"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), "_rid")
     places, flagged = _flagged(numbered.select("_rid", "_text"))
-    marks = places.join(flagged, ["_h", "_c", "_run"]).groupBy("_rid").agg(F.collect_list(F.struct("_pos", "_run", "_mask")).alias("_marks"))
-    kind = numbered.schema["_own"].dataType.simpleString()
-    out = numbered.join(marks, "_rid", "left").select("_own", "_text", "_marks").mapInArrow(lambda batches: _remove(batches, characters), f"_own {kind}, kept binary, spans array<struct<start:long,end:long>>")
+    marks = places.join(flagged, ["_h", "_c", "_run"]).groupBy("_rid").agg(F.collect_list(F.struct("_pos", "_mask")).alias("_marks"))
+    marks = materialise(marks, "op5-marks")
+    touched = bounded(marks.select("_rid"))
+    kind, none = numbered.schema["_own"].dataType.simpleString(), F.array().cast("array<struct<start:long,end:long>>")
+    out = numbered.join(touched, "_rid", "left_semi").join(marks, "_rid").select("_own", "_text", "_marks")
+    out = out.mapInArrow(lambda batches: _remove(batches, characters), f"_own {kind}, kept binary, spans array<struct<start:long,end:long>>")
+    out = out.unionByName(numbered.join(touched, "_rid", "left_anti").select("_own", F.col("_text").cast("binary").alias("kept"), none.alias("spans")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("_own.*", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "spans", "kept")
