@@ -125,7 +125,7 @@ def split_cell(c: Column) -> Column:
 
 def split_admin_value(c: Column) -> Column:
     """As typed by an administrator: one value a line or between commas."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n,]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n,]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ordered_distinct(c: Column) -> Column:

@@ -55,10 +55,11 @@ def public_events(wide: DataFrame) -> DataFrame:
             columns.append((F.from_json(value, TYPED[name]) if TYPED.get(name, "").startswith("array") else value.cast(TYPED[name]) if name in TYPED else value).alias(name))
     hashes = F.lit(None).cast("array<string>")
     if "pdf_search_terms" in wide.columns:
+        # NFKC over the terms joined by a character that it leaves alone, in a projection of its own, as a function in Python takes columns and not items.
         terms = F.filter(F.from_json("pdf_search_terms", "array<string>"), lambda t: F.trim(t) != "")
-        # NFKC over the terms joined by a character that it leaves alone, as a function in Python takes columns and not items.
-        keys = F.split(text.search_key(F.array_join(terms, "\x01")), "\x01")
-        hashes = F.when(F.size(terms) > 0, codes.all_gram_hashes(keys))
+        wide = wide.withColumn("_terms", text.nfkc(F.array_join(terms, "\x01")))
+        keys = F.split(text.search_key(F.col("_terms"), compatible=False), "\x01")
+        hashes = F.when(F.col("_terms") != "", codes.all_gram_hashes(keys))
     head = [F.col("event_id"), F.concat(F.lit("/events/"), "event_id", F.lit("/")).alias("detail_path"), F.col("review_label")]
     return wide.select(*head, *columns, F.when(F.size(hashes) > 0, hashes).alias("pdf_search_hashes"))
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
 import importlib
 import ipaddress
 import json
@@ -41,6 +42,19 @@ def allowed_by_robots(robots: str | None, agent: str, url: str) -> bool:
     return parser.can_fetch(agent, url)
 
 
+def direct(url: str, headers: dict[str, str], timeout: float = 20.0) -> tuple[int, dict[str, str], bytes]:
+    """The plain transport: one request without redirects, read up to just over MOST_BYTES."""
+    connection_type = http.client.HTTPSConnection if urlsplit(url).scheme == "https" else http.client.HTTPConnection
+    parts = urlsplit(url)
+    connection = connection_type(parts.hostname, parts.port, timeout=timeout)
+    try:
+        connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers=headers)
+        response = connection.getresponse()
+        return response.status, dict(response.getheaders()), response.read(MOST_BYTES + 1)
+    finally:
+        connection.close()
+
+
 def fetch(request: dict, transport, sleep=time.sleep, resolver=None) -> dict:
     """One URL, with redirects checked anew and failures tried again. ``transport(url, headers)`` returns (status, headers, body)."""
     row = dict.fromkeys(("final_url", "status", "content_type", "etag", "last_modified", "body", "error_code", "content_hash")) | {"url": request["url"], "outcome": "failed"}
@@ -108,7 +122,7 @@ class _Reader(DataSourceReader):
         return [_Host(x) for x in by_host.values()] or [_Host([])]
 
     def read(self, partition):
-        module, _, name = self.options["transport"].partition(":")
+        module, _, name = self.options.get("transport", "convena.sources.http:direct").partition(":")
         transport = getattr(importlib.import_module(module), name)
         for i, request in enumerate(partition.requests):
             if i:
