@@ -425,6 +425,7 @@ def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str =
 def drop_near_copies(docs: DataFrame, words: int, threshold: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents: the one with the least id (of equal ids, the first in the input). Documents with an empty set all stay."""
     found = near_groups(docs, words, threshold, id_col, text_col).filter("n_shingles > 0 and n_links > 0")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_rid"))["_rid"]).alias("_rid"))
-    dropped = materialise(found.select("_rid").join(materialise(first, "op7-first").select("_rid"), "_rid", "left_anti"), "op7-dropped")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_rid")
+    first = found.groupBy("component_id").agg(F.min(order).alias("first")).select("first._rid")
+    dropped = materialise(found.select("_rid").join(materialise(first, "op7-first"), "_rid", "left_anti"), "op7-dropped")
     return with_row_id(docs, "_rid").join(bounded(dropped), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
