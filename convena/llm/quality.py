@@ -1,12 +1,14 @@
 """Document quality by hierarchical empirical Bayes.
 
-Three levels of evidence meet in one posterior. A document's own evidence is a log-likelihood ratio from a naive Bayes classifier over hashed words and the shape of the text, fitted to labelled documents
-and calibrated by a logistic curve. A host's posterior shrinks its share of good documents toward the global one, a path's shrinks toward its host's; how strongly is estimated from
+Three levels of evidence meet in one posterior. A document's own evidence is a log-likelihood ratio from a logistic classifier over the words and shapes of text that tell good documents from bad ones best, fitted to a
+bounded sample of labelled documents. A host's posterior shrinks its share of good documents toward the global one, a path's shrinks toward its host's; how strongly is estimated from
 how much the groups differ (empirical Bayes). So a sparse site stands near its parent and a well-known one on its own record. All levels are grouped sums with partial aggregation, so a hot host costs what any does.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -15,20 +17,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 from .jaccard_join import LOWER, SPACE, _word_hashes
 
 #: Buckets of hashed words; features of shape follow them, BINS for each.
-WORDS, BINS, SHAPES = 1 << 16, 16, 6
+WORDS, BINS, SHAPES = 1 << 20, 16, 6
 FEATURES = WORDS + BINS * SHAPES
-#: A feature counts if its shares in good and bad documents differ by so many standard errors, and so many labelled documents have it.
-Z, SUPPORT = 4.0, 8
-#: Log-likelihood ratios are calibrated in steps of STEP up to LIMIT either way.
-STEP, LIMIT = 0.25, 40.0
+#: Features that the classifier weighs: those whose shares in good and bad documents differ by most standard errors, Z at least, if so many documents have them.
+CHOSEN, Z, SUPPORT = 256, 4.0, 8
+#: Strength of the ridge that holds weights near 0, and the furthest that a document's evidence goes either way.
+RIDGE, LIMIT = 1.0, 40.0
 #: Weight in the posteriors of hosts and paths of a document that is not labelled: it counts as good by its own probability.
 SOFT = 0.1
 #: Bounds of the prior strength in labelled documents.
 WEAK, STRONG = 2.0, 1000.0
+#: Labelled documents that the classifier is fitted to, about; the posteriors of hosts and paths take all labels.
+FITTED_ROWS = 1 << 16
 TEXT_BYTES = 1 << 20
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 DIGIT = np.array([48 <= b <= 57 for b in range(256)])
@@ -36,10 +40,10 @@ PLAIN = LETTER | DIGIT | SPACE | np.isin(np.arange(256), np.frombuffer(b".,;:'\"
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # log-odds of good against bad for each feature, 0 where it does not count
+    chosen: np.ndarray  # features, rising
+    weights: np.ndarray  # of each
+    offset: float  # log-odds of good = offset + sum of the weights of the features that a document has
     base: float  # log-odds of good in the labelled documents
-    offset: float
-    slope: float  # calibrated log-odds = offset + slope * sum of weights
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +52,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[raw]
     ends = np.cumsum([len(t) + 1 for t in texts])
     starts = np.concatenate([[0], ends[:-1]])
+    # Words are runs of letters and digits here, so that punctuation makes no other word.
+    data = np.where(LETTER[data] | DIGIT[data], data, 32).astype(np.uint8)
     hashes = _word_hashes(data)
     space = SPACE[data]
     heads = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
     of = np.searchsorted(ends, heads, side="right")
-    pairs = np.unique(of.astype(np.int64) * WORDS + (hashes >> np.uint64(48)).astype(np.int64))
+    pairs = np.unique(of.astype(np.int64) * WORDS + (hashes >> np.uint64(64 - 20)).astype(np.int64))
     n = len(texts)
     words = np.bincount(of, minlength=n)
     same = np.zeros(len(hashes), dtype=bool)
@@ -97,91 +103,136 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array((at - 1).astype(np.int32)), pa.array(good[at]), pa.array(bad[at])], names=["_f", "_g", "_b"])
 
 
-def _evidence(weights: np.ndarray):
+def _having(chosen: np.ndarray):
+    """The chosen features that each document has, by their place."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
             docs, found = features(texts)
-            llr = np.bincount(docs, weights=weights[found], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("_own"), pa.array(np.clip(llr, -LIMIT, LIMIT))], names=["_own", "_llr"])
+            at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
+            hit = chosen[at] == found
+            docs, at = docs[hit], at[hit].astype(np.int16)
+            order = np.argsort(docs, kind="stable")
+            lists = np.split(at[order], np.searchsorted(docs[order], np.arange(1, len(texts))))
+            yield pa.RecordBatch.from_arrays([part.column("_good"), pa.array(lists, pa.list_(pa.int16()))], names=["_good", "_x"])
+
+    return run
+
+
+def _evidence(models: list[Model]):
+    """Log-odds of each aspect by a document's features."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((FEATURES, len(models)), np.float32)
+        for i, m in enumerate(models):
+            table[m.chosen, i] = m.weights
+        for part, texts in _texts(batches):
+            docs, found = features(texts)
+            sums = np.stack([m.offset + np.bincount(docs, weights=table[found, i], minlength=len(texts)) for i, m in enumerate(models)], axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("_own"), pa.array(list(np.clip(sums, -LIMIT, LIMIT)), pa.list_(pa.float64()))], names=["_own", "_logit"])
 
     return run
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model of (_text, _good); None if there is not a good and a bad document."""
-    rows = labelled.mapInArrow(_count, "_f int, _g long, _b long").groupBy("_f").agg(F.sum("_g").alias("_g"), F.sum("_b").alias("_b")).toArrow()
+    """A model of (_text, _good), of which there are no more than the driver can hold some numbers each; None if there is not a good and a bad document."""
+    counts = labelled.mapInArrow(_count, "_f int, _g long, _b long").groupBy("_f").agg(F.sum("_g").alias("_g"), F.sum("_b").alias("_b"))
+    rows = counts.filter((F.col("_g") + F.col("_b") >= SUPPORT) | (F.col("_f") < 0)).toArrow()
     f, g, b = (rows[c].to_numpy().astype(np.int64) for c in ("_f", "_g", "_b"))
     goods, bads = int(g[f < 0].sum()), int(b[f < 0].sum())
     if not goods or not bads:
         return None
+    base = float(np.log(goods / bads))
     f, g, b = f[f >= 0], g[f >= 0], b[f >= 0]
     mean = (g + b) / (goods + bads)
-    error = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / goods + 1 / bads))
-    counts = (np.abs(g / goods - b / bads) >= Z * error) & (g + b >= SUPPORT)
-    weights = np.zeros(FEATURES)
-    weights[f[counts]] = (np.log((g + 0.5) / (goods + 1)) - np.log((b + 0.5) / (bads + 1)))[counts]
-    base = float(np.log(goods / bads))
-    scored = labelled.select(F.struct("_good").alias("_own"), "_text").mapInArrow(_evidence(weights), "_own struct<_good:boolean>, _llr double")
-    bins = scored.groupBy(F.round(F.col("_llr") / STEP).cast("int").alias("x"), F.col("_own._good").alias("good")).count().collect()
-    x, y, n = (np.array(v, dtype=float) for v in ([r["x"] * STEP for r in bins], [r["good"] for r in bins], [r["count"] for r in bins]))
-    theta = np.array([base, 0.5])
-    design = np.stack([np.ones_like(x), x])
-    for _ in range(50):  # Newton's method for the logistic curve, held near its start by a weak ridge
-        p = 1 / (1 + np.exp(-np.clip(theta @ design, -30, 30)))
-        gradient = design @ (n * (y - p)) - 1e-2 * (theta - [base, 0.5])
-        step = np.linalg.solve((design * (n * p * (1 - p))) @ design.T + 1e-2 * np.eye(2), gradient)
-        theta = theta + np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-9:
+    z = np.abs(g / goods - b / bads) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / goods + 1 / bads))
+    first = np.lexsort((f, -z))[:CHOSEN]
+    chosen = np.sort(f[first[z[first] >= Z]])
+    if not len(chosen):
+        return Model(chosen, np.zeros(0), base, base)
+    had = labelled.mapInArrow(_having(chosen), "_good boolean, _x array<smallint>").toArrow()
+    y = had["_good"].to_numpy(zero_copy_only=False).astype(float)
+    lists = had["_x"].combine_chunks()
+    x = np.zeros((len(y), len(chosen) + 1), np.float32)
+    x[np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+    x[:, -1] = 1
+    theta = np.zeros(x.shape[1])
+    theta[-1] = base
+    ridge = np.append(np.full(len(chosen), RIDGE), 1e-6)
+    loss = lambda t: float(np.logaddexp(0, x @ t.astype(np.float32)).sum() - y @ (x @ t.astype(np.float32)) + ridge @ (t * t) / 2)
+    now = loss(theta)
+    for _ in range(25):  # Newton's method, with steps halved until they help
+        p = 1 / (1 + np.exp(-np.clip(x @ theta.astype(np.float32), -30, 30)))
+        gradient = x.T @ (y - p).astype(np.float32) - ridge * theta
+        step = np.linalg.solve((x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(ridge), gradient)
+        while (new := loss(theta + step)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        theta, gain, now = theta + step, now - new, new
+        if gain < 1e-4 * len(y) * 1e-2:
             break
-    return Model(weights, base, float(theta[0]), float(max(theta[1], 0)))
+    return Model(chosen, theta[:-1], float(theta[-1]), base)
 
 
-def _strength(groups: DataFrame, mean: str) -> float:
+def _strength(groups: DataFrame, n: str, good: str, mean: Column) -> float:
     """Prior strength by moments: the variance of groups' shares about their parents' mean, beyond what chance gives."""
-    m = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(mean)))
+    m = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), mean))
     chance = m * (1 - m)
-    row = groups.filter("_n > 1").agg(F.sum(F.col("_n") * F.pow(F.col("_s") / F.col("_n") - m, 2)).alias("v"), F.sum(chance).alias("c"), F.sum(F.col("_n") * chance).alias("w")).first()
+    row = groups.filter(F.col(n) > 1).agg(F.sum(F.col(n) * F.pow(F.col(good) / F.col(n) - m, 2)).alias("v"), F.sum(chance).alias("c"), F.sum(F.col(n) * chance).alias("w")).first()
     if not row["w"]:
         return STRONG
     excess = max(row["v"] - row["c"], 0.0) / max(row["w"] - row["c"], 1e-9)  # share of the variance that is between groups
     return float(min(max((1 - excess) / max(excess, 1e-9), WEAK), STRONG))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, training: Column, host_col: str, path_col: str, id_col: str = "doc_id", text_col: str = "text", good_col: str = "good", least: float = 0.5) -> DataFrame:
-    """Per document: the id, ``score`` (posterior probability of good), ``doc_score`` (its text alone), ``host_score``, ``path_score``, ``kept`` (score >= ``least``) and the host and path as ``host`` and ``path``.
+def posteriors(docs: DataFrame, labels: DataFrame, training: Column, host_col: str, path_col: str, aspects: tuple[str, ...] = ("good",), id_col: str = "doc_id", text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """Per document: the id, ``score`` (posterior probability that every aspect is good), ``doc_score``, ``host_score`` and ``path_score`` (the same of its text, host and path alone), ``<aspect>_score`` of each aspect,
+    ``kept`` (every aspect's score >= ``least``) and the host and path as ``host`` and ``path``.
 
-    ``labels`` has the id and a boolean ``good_col``; documents of which ``training`` holds are learnt from. A label that is null or whose id is null counts for nothing; an id that is labelled twice counts as good if every label says so. A null text counts as
-    empty, a null host or path as a group of its own. Without labels of both kinds every document scores 0.5 and is kept. Repeated rows stay repeated; an empty table gives an empty result.
+    ``labels`` has the id and a boolean column for each aspect. Aspects have models and posteriors of their own, as what tells one apart says little of another; documents of which ``training`` holds are learnt from. A label that is null
+    or whose id is null counts for nothing; an id that is labelled twice is good if every label says so. A null text counts as empty, a null host or path as a group of its own. An aspect without labels of both kinds is passed over; if that leaves
+    none, every document scores 0.5 and is kept. Repeated rows stay repeated; an empty table gives an empty result.
     """
-    said = labels.select(F.col(id_col).alias("_key"), F.col(good_col).alias("_good")).filter("_key is not null and _good is not null").groupBy("_key").agg(F.bool_and("_good").alias("_good"))
+    said = labels.select(F.col(id_col).alias("_key"), *[F.col(a).alias(f"_good_{a}") for a in aspects]).filter("_key is not null").groupBy("_key").agg(*[F.bool_and(f"_good_{a}").alias(f"_good_{a}") for a in aspects])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")
     place = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
     rows = docs.select(F.col(id_col).alias("_id"), *place, F.coalesce(training, F.lit(False)).alias("_train"), text)
-    known = rows.filter("_train").join(said, F.col("_id") == F.col("_key"))
-    known = known.select("_good", "_text")
-    model = fit(known)
+    said = materialise(said, "op4-labels")
+    # The classifier takes its labels by a hash of their id, one in so many that the sample can go to every task and texts needn't be shuffled.
+    share = -(-said.count() // FITTED_ROWS) or 1
+    sample = materialise(said.filter(F.pmod(F.xxhash64("_key"), F.lit(share)) == 0), "op4-sample")
+    known = rows.filter("_train").join(bounded(sample), F.col("_id") == F.col("_key"))
+    models = {a: fit(known.filter(f"_good_{a} is not null").select(F.col(f"_good_{a}").alias("_good"), "_text")) for a in aspects}
+    models = {a: m for a, m in models.items() if m}
     shown = [F.nullif(F.col(c), F.lit("\0")).alias(c) for c in ("host", "path")]
-    if model is None:
-        half = [F.lit(0.5).alias(c) for c in ("score", "doc_score", "host_score", "path_score")]
+    if not models:
+        half = [F.lit(0.5).alias(c) for c in ("score", "doc_score", "host_score", "path_score", *[f"{a}_score" for a in aspects])]
         return rows.select(F.col("_id").alias(id_col), *shown, *half, F.lit(True).alias("kept"))
     own = F.struct("_id", "host", "path", "_train").alias("_own")
     kind = rows.select(own).schema["_own"].dataType.simpleString()
-    scored = rows.select(own, "_text").mapInArrow(_evidence(model.weights), f"_own {kind}, _llr double").select("_own.*", "_llr")
+    scored = rows.select(own, "_text").mapInArrow(_evidence(list(models.values())), f"_own {kind}, _logit array<double>").select("_own.*", "_logit")
     scored = materialise(scored.join(said, F.col("_id") == F.col("_key"), "left").drop("_key"), "op4-evidence")
-    logit = F.lit(model.offset) + F.lit(model.slope) * F.col("_llr")
-    chance = 1 / (1 + F.exp(-logit))
-    labelled = F.col("_train") & F.col("_good").isNotNull()
-    counted = scored.withColumns({"_w": F.when(labelled, 1.0).otherwise(SOFT), "_y": F.when(labelled, F.col("_good").cast("double")).otherwise(SOFT * chance)})
-    paths = materialise(counted.groupBy("host", "path").agg(F.sum("_w").alias("_n"), F.sum("_y").alias("_s")), "op4-paths")
-    hosts = paths.groupBy("host").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    total = paths.agg(F.sum("_s") / F.sum("_n")).first()[0]
-    overall = F.lit(0.5 if total is None else total)
-    k = _strength(hosts.withColumn("_m", overall), "_m")
-    hosts = hosts.select("host", ((F.col("_s") + k * overall) / (F.col("_n") + k)).alias("host_score"))
-    paths = paths.join(hosts, "host")
-    k = _strength(paths, "host_score")
-    paths = materialise(paths.select("host", "path", "host_score", ((F.col("_s") + k * F.col("host_score")) / (F.col("_n") + k)).alias("path_score")), "op4-posteriors")
-    prior = F.log(F.col("path_score") / (1 - F.col("path_score")))
-    score = 1 / (1 + F.exp(-(prior + logit - F.lit(model.base))))
+    logit = {a: F.col("_logit")[i] for i, a in enumerate(models)}
+    chance = {a: 1 / (1 + F.exp(-x)) for a, x in logit.items()}
+    sums = []
+    for a in models:
+        labelled = F.col("_train") & F.col(f"_good_{a}").isNotNull()
+        sums += [F.sum(F.when(labelled, 1.0).otherwise(SOFT)).alias(f"n_{a}"), F.sum(F.when(labelled, F.col(f"_good_{a}").cast("double")).otherwise(SOFT * chance[a])).alias(f"s_{a}")]
+    groups = materialise(scored.groupBy("host", "path").agg(*sums), "op4-paths")
+    hosts = materialise(groups.groupBy("host").agg(*[F.sum(f"{x}_{a}").alias(f"{x}_{a}") for a in models for x in "ns"]), "op4-hosts")
+    total = hosts.agg(*[(F.sum(f"s_{a}") / F.sum(f"n_{a}")).alias(a) for a in models]).first()
+    for a in models:
+        overall = F.lit(0.5 if total[a] is None else total[a])
+        k = _strength(hosts, f"n_{a}", f"s_{a}", overall)
+        hosts = hosts.withColumn(f"host_{a}", (F.col(f"s_{a}") + k * overall) / (F.col(f"n_{a}") + k))
+    paths = groups.join(hosts.select("host", *[f"host_{a}" for a in models]), "host")
+    for a in models:
+        k = _strength(paths, f"n_{a}", f"s_{a}", F.col(f"host_{a}"))
+        paths = paths.withColumn(f"path_{a}", (F.col(f"s_{a}") + k * F.col(f"host_{a}")) / (F.col(f"n_{a}") + k))
+    paths = materialise(paths.select("host", "path", *[f"{x}_{a}" for a in models for x in ("host", "path")]), "op4-posteriors")
+    prior = {a: F.log(F.col(f"path_{a}") / (1 - F.col(f"path_{a}"))) for a in models}
+    score = {a: 1 / (1 + F.exp(-(prior[a] + logit[a] - F.lit(m.base)))) for a, m in models.items()}
+    product = lambda columns: functools.reduce(operator.mul, columns)
     out = scored.join(paths, ["host", "path"])
-    return out.select(F.col("_id").alias(id_col), *shown, score.alias("score"), chance.alias("doc_score"), "host_score", "path_score", (score >= least).alias("kept"))
+    whole = [product(score.values()).alias("score"), product(chance.values()).alias("doc_score"), product(F.col(f"host_{a}") for a in models).alias("host_score"), product(F.col(f"path_{a}") for a in models).alias("path_score")]
+    each = [score.get(a, F.lit(0.5)).alias(f"{a}_score") for a in aspects]
+    return out.select(F.col("_id").alias(id_col), *shown, *whole, *each, functools.reduce(operator.and_, [x >= least for x in score.values()]).alias("kept"))

@@ -40,10 +40,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good documents are of quality 1 and not toxic; the source is the host, the language the path. Labels of documents whose crc32 mod 4 is 2 are held out."""
+    """Aspects are quality and not being toxic; the source is the host, the language the path. Labels of documents whose crc32 mod 4 is 2 are held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    found = quality.posteriors(docs, good, remainder("doc_id", 4) != 2, "source", "lang")
+    said = labels.select("doc_id", (F.col("quality") == 1).alias("quality"), (F.col("toxic") == 0).alias("civil"))
+    found = quality.posteriors(docs, said, remainder("doc_id", 4) != 2, "source", "lang", ("quality", "civil"))
     return found.withColumn("held_out", remainder("doc_id", 4) == 2)
 
 
