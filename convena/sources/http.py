@@ -55,6 +55,14 @@ def direct(url: str, headers: dict[str, str], timeout: float = 20.0) -> tuple[in
         connection.close()
 
 
+def interval(request: dict) -> float:
+    """Seconds between requests to a host: the source's, or what its robots.txt asks for if that is more."""
+    parser = RobotFileParser()
+    parser.parse((request.get("robots") or "").splitlines())
+    asked = parser.crawl_delay(request.get("user_agent") or "*") or parser.crawl_delay("*") or 0
+    return max(float(request.get("interval_seconds") or 0), float(asked))
+
+
 def fetch(request: dict, transport, sleep=time.sleep, resolver=None) -> dict:
     """One URL, with redirects checked anew and failures tried again. ``transport(url, headers)`` returns (status, headers, body)."""
     row = dict.fromkeys(("final_url", "status", "content_type", "etag", "last_modified", "body", "error_code", "content_hash")) | {"url": request["url"], "outcome": "failed"}
@@ -126,7 +134,7 @@ class _Reader(DataSourceReader):
         transport = getattr(importlib.import_module(module), name)
         for i, request in enumerate(partition.requests):
             if i:
-                time.sleep(float(request.get("interval_seconds") or 0))
+                time.sleep(interval(request))
             row = fetch(request, transport)
             yield tuple(row[c.split()[0]] for c in SCHEMA.split(", "))
 

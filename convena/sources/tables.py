@@ -89,6 +89,24 @@ def require_known(wanted: list[str], configs: DataFrame) -> DataFrame:
     return configs.sparkSession.createDataFrame([(w,) for w in wanted], "source_id string").join(configs.select("source_id"), "source_id", "left_anti")
 
 
+def fetch_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last fetch of each URL; of several rows of one the latest counts."""
+    rows = spark.read.schema(FETCH_STATE).json(path).filter("url is not null")
+    latest = rows.groupBy("url").agg(F.max_by(F.struct("etag", "last_modified", "content_hash", "fetched_at"), "fetched_at").alias("s"))
+    return latest.select("url", "s.*")
+
+
+def extraction_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Cached answers by key, from JSON lines; lines that are no answers are dropped."""
+    from ..operators.extraction import ANSWER
+
+    return spark.read.schema(f"cache_key string, {ANSWER}").option("mode", "DROPMALFORMED").json(path).filter("cache_key is not null")
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CANDIDATE).json(path)
+
+
 def append(df: DataFrame, path: str, form: str = "json") -> None:
     """Append-only logs: candidates, fetches, reviews, actions, rules."""
     df.write.mode("append").format(form).save(path)

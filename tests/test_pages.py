@@ -91,6 +91,7 @@ def test_fetching():
     assert run(url="https://a.example/x", robots="User-agent: *\nDisallow: /x")["error_code"] == "ROBOTS"
     waits, answers = [], iter([(503, {"Retry-After": "999"}, b""), (503, {}, b""), (200, {}, b"ok")])
     assert http.fetch({"url": "https://a.example/"}, lambda u, h: next(answers), sleep=waits.append)["outcome"] == "fetched" and waits == [300.0, 2.0]
+    assert http.interval({"interval_seconds": 10, "robots": "User-agent: *\nCrawl-delay: 60"}) == 60 and http.interval({"interval_seconds": 10}) == 10
     assert not http.is_public_address("10.0.0.1") and http.is_public_address("8.8.8.8")
 
 
