@@ -96,7 +96,7 @@ class Model:
         self.cached, self.cached_counts = common[order], counts[order]
         m = min(CLASSES * WORDS, len(common))
         order = np.argsort(common[:m], kind="stable")
-        self.modelled, self.place = common[:m][order], order
+        self.modelled, self.place, self.modelled_counts = common[:m][order], order, counts[:m]
         self.open_size = form_tokens + form_words + 1.0
         own = np.zeros(CLASSES * WORDS)
         own[:m] = counts[:m]
@@ -123,14 +123,14 @@ class Model:
         return np.stack([_row(k) for k in keys])
 
     def class_probabilities(self, rows: np.ndarray) -> np.ndarray:
-        return _softmax(self.class_bias + sum(self.class_weights[r] for r in rows))
+        return _softmax(_gathered(self.class_weights, rows) + self.class_bias)
 
     def word_rows(self, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
         """The features again, each together with the token's class."""
         return np.stack([_row(r.astype(np.uint64) << np.uint64(8) | of.astype(np.uint64) | np.uint64(1 << 40)) for r in rows[:2]])
 
     def word_probabilities(self, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return _softmax(self.word_bias[of] + sum(self.word_weights[r] for r in rows))
+        return _softmax(_gathered(self.word_weights, rows) + np.take(self.word_bias, of, axis=0, mode="clip"))
 
 
 def _row(key: np.ndarray) -> np.ndarray:
@@ -139,8 +139,18 @@ def _row(key: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 13) if ROWS == 1 << 13 else h % np.uint64(ROWS)).astype(np.uint16 if ROWS <= 1 << 16 else np.int64)
 
 
+def _gathered(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of a table, one from each feature; the mode spares numpy a copy."""
+    total, part = np.empty((rows.shape[1], table.shape[1]), np.float32), np.empty((rows.shape[1], table.shape[1]), np.float32)
+    np.take(table, rows[0].astype(np.intp), axis=0, out=total, mode="clip")
+    for r in rows[1:]:
+        total += np.take(table, r.astype(np.intp), axis=0, out=part, mode="clip")
+    return total
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    if logits.max(initial=0) > 60:  # far from overflow there is nothing to take off first
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
@@ -152,7 +162,7 @@ def _descend(weights: np.ndarray, seen: np.ndarray, size: np.ndarray, rows: np.n
         order = np.argsort(r, kind="stable")
         ordered = r[order]
         cuts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0]
-        at, total = ordered[cuts], np.add.reduceat(gradient[order], cuts, axis=0)
+        at, total = ordered[cuts], np.add.reduceat(np.take(gradient, order, axis=0, mode="clip"), cuts, axis=0)
         size[at] += (total * total).sum(axis=1)
         seen[at] += np.diff(np.append(cuts, len(r)))
         weights[at] -= (RATE / np.sqrt(size[at]))[:, None] * total
@@ -262,11 +272,18 @@ def _scorer(model: Model):
                     words = model.word_probabilities(model.word_rows(some[:, common], own[common]), own[common])
                     mine[common] += np.log10(np.maximum(words[np.arange(len(common)), sym[common] % WORDS].astype(np.float64), 1e-30))
                 value[a : a + STEP] = mine
-            at = np.minimum(np.searchsorted(model.cached, found.hashes), max(len(model.cached) - 1, 0))
-            hit = model.cached[at] == found.hashes if len(model.cached) else np.zeros(len(at), bool)
-            count = np.log10(np.where(hit, model.cached_counts[at] if len(model.cached) else 0, 0) + 1.0)
-            is_open = of >= CLASSES
-            value[is_open] += count[is_open] - np.log10(model.open_size[of[is_open] - CLASSES])
+            # Modelled tokens bring their counts; the others are looked up among the commonest.
+            count, hit = np.zeros(len(symbol)), of < CLASSES
+            count[hit] = model.modelled_counts[symbol[hit]]
+            others = np.nonzero(~hit)[0]
+            if len(model.cached):
+                sought = found.hashes[others]
+                at = np.minimum(np.searchsorted(model.cached, sought), len(model.cached) - 1)
+                same = model.cached[at] == sought
+                hit[others] = same
+                count[others[same]] = model.cached_counts[at[same]]
+            count = np.log10(count + 1)
+            value[others] += count[others] - np.log10(model.open_size[of[others] - CLASSES])
             ends = np.append(found.starts[1:], len(symbol))
             rare = [found.hashes[a:b][~hit[a:b]].view(np.int64) for a, b in zip(found.starts.tolist(), ends.tolist(), strict=True)]
             sums = [np.add.reduceat(x, found.starts) for x in (value, count, hit.astype(np.int64))]
