@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most keys that a broadcast may hold: 2**20 longs take about 32 MB as a hashed relation.
 BROADCAST_KEYS = 1 << 20
 
+#: Tables that this process has written to the shared folder.
+WRITTEN: list[str] = []
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -28,10 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again, so that a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def remove_written() -> None:
+    """Remove the tables of this process when it ends: a result may need them until then, as it is lazy."""
+    context = SparkContext._active_spark_context
+    for path in WRITTEN:
+        if context is not None and context._jsc is not None:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        elif path.startswith(("/", "file:")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    WRITTEN.clear()
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Tell rows apart by their place in the scan; needs an input that is read in the same order each time, such as files."""
     return df.withColumn(name, F.monotonically_increasing_id())
