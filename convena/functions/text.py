@@ -18,13 +18,16 @@ NAVIGATION_LABELS = ["イベント", "セミナー情報", "お知らせ", "ニ
 FORMAT_WORDS = ["オンライン", "web", "ウェブ", "オンデマンド", "ハイブリッド", "現地開催"]
 CORPORATE_FORMS = ["公益社団法人", "一般社団法人", "公益財団法人", "一般財団法人", "特定非営利活動法人", "NPO法人"]
 TITLE_PUNCTUATION = r"[「」『』【】()\[\]（）:：・,，。~〜～／/]"
+#: White space of any script, separators among the control characters included; and the control characters that are not white space.
+BLANK = r"(?U)[\s\x1c-\x1f]"
+CONTROLS = "".join(map(chr, [*range(9), *range(14, 28)]))
 #: An excluding word counts only in texts of up to so many characters.
 SHORT_TEXT = 35
 
 
 def normalize_space(c: Column) -> Column:
     """Runs of white space, U+3000 and the like included, become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(c, BLANK + "+", " "), "^ | $", "")
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -93,10 +96,10 @@ def page_lines(c: Column) -> Column:
 def text_quality(c: Column) -> Column:
     """Visible characters of 80 at most, less the shares of replacement and control characters; 0 to 1, to four places."""
     text = F.coalesce(c, F.lit(""))
-    visible = F.regexp_replace(text, r"(?U)\s", "")
-    n = F.length(visible)
-    lost = F.length(visible) - F.length(F.replace(visible, F.lit("�"), F.lit("")))
-    control = n - F.length(F.regexp_replace(visible, r"[\x00-\x08\x0e-\x1f]", ""))
+    n = F.length(F.regexp_replace(text, BLANK + "+", ""))
+    # Neither kind is white space, so they are counted in the text as it is.
+    lost = F.length(text) - F.length(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    control = F.length(text) - F.length(F.translate(text, CONTROLS, ""))
     score = F.least(F.lit(1.0), n / 80) * (1 - lost / n) * (1 - control / n)
     return F.when(n == 0, F.lit(0.0)).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
 

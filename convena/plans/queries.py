@@ -497,3 +497,39 @@ def set_operations(spark, sf_dir):
 def next_free_row(spark, sf_dir):
     l = t(spark, sf_dir, "lineitem")
     return l.agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + 1).cast("long").alias("next_row"), F.date_format(F.least(F.min("l_shipdate"), F.lit("2030-01-01").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")), "yyyy-MM-dd").alias("earliest"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(lower(t), 'web', ' '), 'オンライン', ' '), '[「」『』【】()\[\]（）:：・,，。~〜～／/]', ' ', 'g'), '\s+', '', 'g') AS title_key, regexp_replace(replace(lower(t), 'npo法人', ''), '[\s・,，。]', '', 'g') AS organizer_key
+FROM (SELECT doc_id, 'NPO法人 Web ' || substr(coalesce(text, ''), 1, 80) AS t FROM documents)""")
+def text_keys(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("NPO法人 Web "), F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("t"))
+    return d.select("doc_id", text.title_key(F.col("t"), compatible=False).alias("title_key"), text.organizer_key(F.col("t"), compatible=False).alias("organizer_key"))
+
+
+@query(r"""SELECT doc_id, len(l) AS n, coalesce(l[1], '') AS first_value FROM (SELECT doc_id, [trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''] AS l FROM documents)""")
+def cell_values(spark, sf_dir):
+    cells = t(spark, sf_dir, "documents").select("doc_id", text.split_cell(F.col("text")).alias("l"))
+    return cells.select("doc_id", F.size("l").cast("long").alias("n"), F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("first_value"))
+
+
+@query(f"""SELECT event_id, CASE WHEN es IS NULL THEN '要確認' ELSE month(CAST(es[1:10] AS DATE)) || '月' || day(CAST(es[1:10] AS DATE)) || '日' END AS start_text, CASE WHEN es IS NULL AND se IS NULL THEN '要確認' ELSE
+  CASE WHEN es IS NULL THEN '要確認' ELSE month(CAST(es[1:10] AS DATE)) || '月' || day(CAST(es[1:10] AS DATE)) || '日' END || ' 〜 ' || CASE WHEN se IS NULL THEN '要確認' ELSE month(CAST(se[1:10] AS DATE)) || '月' || day(CAST(se[1:10] AS DATE)) || '日' END END AS period FROM ({ORDER_EVENTS})""")
+def display_times(spark, sf_dir):
+    e = order_events(spark, sf_dir)
+    return e.select("event_id", times.display_time(F.col("event_start_at")).alias("start_text"), times.display_period(F.col("event_start_at"), F.col("stream_end_at"), F.lit("")).alias("period"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_type END AS fee_text, CASE WHEN event_id % 3 = 0 THEN 'Web' END AS format, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') END AS event_start, '["呼吸"]' AS genres,
+  round(least(1.0, greatest(0.0, value / 50)), 6) AS title_confidence, concat_ws(',', 'LOW', CASE WHEN event_id % 5 = 0 THEN 'EVENT_START_INVALID' END, CASE WHEN event_id % 2 = 0 THEN 'FEE_TEXT_EVIDENCE_MISSING' END, CASE WHEN event_id % 3 <> 0 THEN 'FORMAT_INVALID' END) AS reasons FROM events""")
+def validated_fields(spark, sf_dir):
+    from ..functions import validate
+
+    k = F.col("event_id")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    item = lambda name, value, evidence: F.struct(F.lit(name).alias("key"), F.struct(value.alias("value"), (F.col("value") / 50).cast("string").alias("confidence"), evidence.alias("evidence")).alias("value"))
+    seen, none = F.lit("seen"), F.lit(None).cast("string")
+    start = F.when(k % 5 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(iso("ts"))
+    items = [item("event_start", quoted(start), seen), item("fee_text", quoted(F.col("event_type")), F.when(k % 2 == 0, F.lit(" ")).otherwise(seen)), item("format", quoted(F.when(k % 3 == 0, F.lit("Web")).otherwise(F.lit("bad"))), none), item("genres", F.lit('["呼吸","x"]'), none), item("title", quoted(F.col("event_type")), none), item("odd", F.lit("1"), none)]
+    e = t(spark, sf_dir, "events").withColumn("v", validate.validated(F.map_from_entries(F.array(*items)), F.array(F.lit("LOW"), F.lit("LOW")), F.array().cast("array<string>")))
+    field = lambda name: F.col("v.fields")[name]["value"]
+    return e.select("event_id", field("fee_text").alias("fee_text"), field("format").alias("format"), field("event_start").alias("event_start"), field("genres").alias("genres"), F.round(F.col("v.fields")["title"]["confidence"], 6).alias("title_confidence"), F.array_join("v.review_reasons", ",").alias("reasons"))
