@@ -196,8 +196,8 @@ def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents: (id, piece, start, length, ids_crc32) with ``_task`` and ``_rank``, the rank among the task's pieces of that length."""
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Pieces of all documents: (id, piece, start, length, ids_crc32, on request ids) with ``_task`` and ``_rank``, the rank among the task's pieces of that length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, ranks = _tokens(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
@@ -211,26 +211,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
                     n = len(ids) // 4
                     starts = [0, *range(n % capacity or capacity, n, capacity)]
                     for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                        rows.append((i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, ranks[b - a]))
+                        own = ids[4 * a : 4 * b]
+                        rows.append((i, k, a, b - a, zlib.crc32(own), *((np.frombuffer(own, "<i4"),) if with_ids else ()), task, ranks[b - a]))
                         ranks[b - a] += 1
                 took, *rest = zip(*rows, strict=True)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else []), pa.int32(), pa.int64()]
                 columns = [part.column("id").take(pa.array(took)), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "_task", "_rank"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *names, "_task", "_rank"])
 
+    names = ["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, _task int, _rank long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, {'ids array<int>, ' * with_ids}_task int, _rank long").withColumnRenamed("id", id_col)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: the id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per piece: the id, ``piece``, ``start``, ``length``, ``ids_crc32``, on request ``ids`` (array of int), then ``sequence_id`` and ``offset``.
 
     Texts are read whole; each document is its ids and ``end_id``. One longer than ``capacity`` is cut into pieces of that length, of which the first may be shorter;
     others stay whole. Pieces lie in their sequence without gaps from 0, longest first, then by id. A null text counts as empty and is ``end_id`` alone. Repeated rows
     are packed as often as they come; ties in length are told apart by place in the input; other columns are ignored; an empty table gives an empty result.
     """
-    cut = materialise(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "op8-pieces")
+    cut = materialise(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, with_ids), "op8-pieces")
     by_task = cut.groupBy("length", "_task").agg(F.count("*").alias("_n"))
     before = by_task.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -244,10 +246,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
         for b in batches:
             place = longer[b.column("length").to_numpy()] + b.column("_before").to_numpy() + b.column("_rank").to_numpy()
             at = np.searchsorted(edges, place, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(first[at] + place - edges[at])], names=[*b.schema.names[:5], "sequence_id"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(first[at] + place - edges[at])], names=[*b.schema.names[:-2], "sequence_id"])
 
-    rows = cut.join(before.select("length", "_task", "_before"), ["length", "_task"]).select(id_col, "piece", "start", "length", "ids_crc32", "_before", "_rank")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:5])
+    rows = cut.join(before.select("length", "_task", "_before"), ["length", "_task"]).select(id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "_before", "_rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     placed = rows.mapInArrow(assign, f"{kinds}, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), id_col, "piece", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

@@ -371,7 +371,7 @@ def test_pack(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("offset", F.lit("own"))
     path = tokenizers.path("byte_bpe_50k.json")
     tokens = packing.Tokens(path)
-    rows = packing.pack(df, path, 2, 256).collect()
+    rows = packing.pack(df, path, 2, 256, with_ids=True).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -382,12 +382,15 @@ def test_pack(spark):
         assert [r["piece"] for r in pieces] == list(range(len(pieces))) and sum(r["length"] for r in pieces) == len(ids)
         assert len(pieces) == 1 or all(r["length"] == 256 for r in pieces[1:])
         for r in pieces:
+            assert r["ids"] == ids[r["start"] : r["start"] + r["length"]]
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
     for parts in by_seq.values():
         parts.sort(key=lambda r: r["offset"])
         ends = np.cumsum([r["length"] for r in parts])
         assert [r["offset"] for r in parts] == [0, *ends[:-1]] and ends[-1] <= 256
     assert packing.pack(df.limit(0), path, 2, 256).count() == 0
+    plain = packing.pack(df, path, 2, 256)
+    assert "ids" not in plain.columns and plain.count() == len(rows)
 
 
 # Nearest neighbours
