@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, times, urls
+from .rows import placed
 
 # The fields that are published, those that must be there, and those that hold URLs.
 PUBLIC = [
@@ -75,9 +76,15 @@ def publication_order() -> list[Column]:
     return [format_rank(F.col("format")), times.sort_date(F.col("event_start_at"), F.col("stream_start_at"), F.col("stream_end_at"), "9999-12-31"), F.col("title"), F.col("event_id")]
 
 
+def publication_places(public: DataFrame) -> DataFrame:
+    """``public`` with its place in publication order; the rank of the format and the month cut the order."""
+    date = times.sort_date(F.col("event_start_at"), F.col("stream_start_at"), F.col("stream_end_at"), "9999-12-31")
+    return placed(public, {"_rank": format_rank(F.col("format")), "_month": F.substring(date, 1, 7)}, publication_order())
+
+
 def document(public: DataFrame, generated_at: str) -> DataFrame:
     """One row with the published document as JSON: its events in publication order. The one place that gathers rows, as the document is one text."""
-    ranked = public.withColumn("_place", F.row_number().over(Window.orderBy(*publication_order())))
+    ranked = publication_places(public).withColumnRenamed("place", "_place")
     events = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.struct(*public.columns).alias("e")))), lambda x: x["e"])
     body = ranked.agg(F.count("*").alias("event_count"), events.alias("events"))
     return body.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(generated_at).alias("generated_at"), "event_count", "events")).alias("json"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, urls
@@ -117,10 +117,22 @@ def source_status() -> Column:
     return F.when(F.col("held") & none, F.lit("technical_hold")).when((F.col("failures") > 0) & ~none, F.lit("partial")).when(F.col("failures") > 0, F.lit("failed")).otherwise(F.lit("success"))
 
 
+def placed(rows: DataFrame, prefix: dict[str, Column], order: list[Column], name: str = "place", descending: bool = False) -> DataFrame:
+    """``rows`` with their place, from 1, in one order over all of them, without gathering them in one task.
+
+    ``prefix`` cuts the order into stretches: columns, by name, that ``order`` refines (with ``descending``, both run the other way). Rows are numbered within their stretch, and a table of the stretches' sizes says how many stand before each.
+    """
+    keyed = rows.withColumns(prefix)
+    ends = [F.desc(c) if descending else F.asc(c) for c in prefix]
+    sizes = keyed.groupBy(*prefix).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(*ends).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    within = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*prefix).orderBy(*order)))
+    joined = within.alias("w").join(before.select(*[F.col(c).alias(f"{c}_b") for c in prefix], "_before"), on=[F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in prefix])
+    return joined.select(*[F.col(f"w.`{c}`") for c in rows.columns], (F.col("_before") + F.col("_nth")).alias(name))
+
+
 def within_budget(requests: DataFrame, source: str, position: str, budget: str, used: int = 1) -> DataFrame:
     """``requests`` with ``allowed``: the first of each source that its budget leaves, robots.txt counting as ``used``."""
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy(source).orderBy(position))
     return requests.withColumn("allowed", nth + used <= F.col(budget))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, times
+from .rows import placed
 
 SEARCHED = ["title", "organizer_name", "summary", "event_type", "format", "source_prefecture", "venue_prefecture", "audience_conditions", "credits_text"]
 
@@ -30,8 +31,10 @@ def partitioned(events: DataFrame, generated_at: str) -> DataFrame:
     active = ~F.coalesce(times.instant(_end()) < F.to_timestamp(F.lit(generated_at)), F.lit(False))
     date = times.sort_date(F.col("event_start_at"), F.col("stream_start_at"), F.col("stream_end_at"), "9999")
     keyed = events.withColumns({"active": active, "_d": date, "_t": F.coalesce("title", F.lit(""))})
-    up, down = Window.partitionBy("active").orderBy("_d", "_t", "event_id"), Window.partitionBy("active").orderBy(F.desc("_d"), F.desc("_t"), "event_id")
-    return keyed.withColumn("place", F.when(F.col("active"), F.row_number().over(up)).otherwise(F.row_number().over(down))).drop("_d", "_t")
+    month = {"_month": F.substring("_d", 1, 7)}
+    up = placed(keyed.filter("active"), month, [F.col("_d"), F.col("_t"), F.col("event_id")])
+    down = placed(keyed.filter("not active"), month, [F.desc("_d"), F.desc("_t"), F.col("event_id")], descending=True)
+    return up.unionByName(down).drop("_d", "_t")
 
 
 def site_counts(parted: DataFrame) -> DataFrame:

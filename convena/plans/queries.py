@@ -130,10 +130,12 @@ def source_status(spark, sf_dir):
 @query("""SELECT event_type, count(*) AS candidate_count, count_if(value > 50) AS warning_count, array_to_string(list_slice(list(event_id ORDER BY event_id) FILTER (value > 50), 1, 20), ',') AS warnings, bool_or(value > 99) AS has_failures FROM events GROUP BY 1""")
 def daily_totals(spark, sf_dir):
     e = t(spark, sf_dir, "events")
-    first = F.row_number().over(Window.partitionBy("event_type", F.col("value") > 50).orderBy("event_id"))
-    warned = F.when((F.col("value") > 50) & (F.col("n") <= 20), F.col("event_id"))  # cut before they are gathered
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(warned)), lambda x: x.cast("string")), ",")
-    return e.withColumn("n", first).groupBy("event_type").agg(F.count("*").alias("candidate_count"), F.count_if(F.col("value") > 50).alias("warning_count"), listed.alias("warnings"), F.bool_or(F.col("value") > 99).alias("has_failures"))
+    high = F.col("value") > 50
+    counts = e.groupBy("event_type").agg(F.count("*").alias("candidate_count"), F.count_if(high).alias("warning_count"), F.bool_or(F.col("value") > 99).alias("has_failures"))
+    # The limit is on the rank, so each task passes on 20 rows of a type at most.
+    first = e.filter(high).withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).filter("n <= 20")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
+    return counts.join(first.groupBy("event_type").agg(listed.alias("warnings")), "event_type", "left")
 
 
 @query()
@@ -287,11 +289,10 @@ def home_top6(spark, sf_dir):
     return site.home(site.partitioned(order_events(spark, sf_dir), NOW)).select("event_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""SELECT event_id, row_number() OVER (ORDER BY CASE format WHEN 'Web' THEN 0 WHEN 'オンデマンド' THEN 1 WHEN 'ハイブリッド' THEN 2 WHEN '現地開催' THEN 3 ELSE 4 END, {DATE.format('9999-12-31')}, title, event_id) AS place FROM ({ORDER_EVENTS}) WHERE publication_status = '公開' AND o_orderkey % 100 = o_orderkey % 10""")
+@query(f"""SELECT event_id, row_number() OVER (ORDER BY CASE format WHEN 'Web' THEN 0 WHEN 'オンデマンド' THEN 1 WHEN 'ハイブリッド' THEN 2 WHEN '現地開催' THEN 3 ELSE 4 END, {DATE.format('9999-12-31')}, title, event_id) AS place FROM ({ORDER_EVENTS}) WHERE publication_status = '公開'""")
 def custom_rank_sort(spark, sf_dir):
-    # The published list is one list, so its places are counted in one sequence; it holds what is published, not the corpus.
-    e = order_events(spark, sf_dir).filter("publication_status = '公開' and event_id % 100 = event_id % 10")
-    return e.select("event_id", F.row_number().over(Window.orderBy(*publish.publication_order())).cast("long").alias("place"))
+    e = order_events(spark, sf_dir).filter("publication_status = '公開'")
+    return publish.publication_places(e).select("event_id", "place")
 
 
 @query(f"""SELECT event_id, row_number() OVER (PARTITION BY format ORDER BY coalesce(dl, '9999'), event_id) AS by_deadline, row_number() OVER (PARTITION BY format ORDER BY coalesce(es, '9999'), event_id) AS by_date FROM ({ORDER_EVENTS})""")
@@ -500,9 +501,9 @@ def next_free_row(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(lower(t), 'web', ' '), 'オンライン', ' '), '[「」『』【】()\[\]（）:：・,，。~〜～／/]', ' ', 'g'), '\s+', '', 'g') AS title_key, regexp_replace(replace(lower(t), 'npo法人', ''), '[\s・,，。]', '', 'g') AS organizer_key
-FROM (SELECT doc_id, 'NPO法人 Web ' || substr(coalesce(text, ''), 1, 80) AS t FROM documents)""")
+FROM (SELECT doc_id, 'NPO法人 Web ' || coalesce(text, '') AS t FROM documents)""")
 def text_keys(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("NPO法人 Web "), F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("t"))
+    d = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("NPO法人 Web "), F.coalesce("text", F.lit(""))).alias("t"))
     return d.select("doc_id", text.title_key(F.col("t"), compatible=False).alias("title_key"), text.organizer_key(F.col("t"), compatible=False).alias("organizer_key"))
 
 
