@@ -120,14 +120,14 @@ def status_counts_zero_filled(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c = 0 THEN 'technical_hold' WHEN f > 0 AND c > 0 THEN 'partial' WHEN f > 0 THEN 'failed' ELSE 'success' END AS status
-FROM (SELECT c_custkey, c_acctbal, count_if(o_orderstatus = 'F') AS c, count_if(o_orderstatus = 'P') AS f FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)""")
+FROM (SELECT c_custkey, c_acctbal, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS c, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS f FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)""")
 def source_status(spark, sf_dir):
     counts = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("candidates"), F.count_if(F.col("o_orderstatus") == "P").alias("failures"))
     c = t(spark, sf_dir, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left").fillna(0, ["candidates", "failures"])
     return c.withColumn("held", F.col("c_acctbal") < 0).select("c_custkey", rows.source_status().alias("status"))
 
 
-@query("""SELECT event_type, count(*) AS candidate_count, count_if(value > 50) AS warning_count, array_to_string(list_slice(list(event_id ORDER BY event_id) FILTER (value > 50), 1, 20), ',') AS warnings, bool_or(value > 99) AS has_failures FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS candidate_count, CAST(count_if(value > 50) AS BIGINT) AS warning_count, array_to_string(list_slice(list(event_id ORDER BY event_id) FILTER (value > 50), 1, 20), ',') AS warnings, bool_or(value > 99) AS has_failures FROM events GROUP BY 1""")
 def daily_totals(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     high = F.col("value") > 50
@@ -155,7 +155,7 @@ def text_quality(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", quality.alias("quality"), text.needs_ocr(F.coalesce("text", F.lit("")), quality).alias("needs_ocr"))
 
 
-@query(f"""SELECT source, CASE WHEN bool_and(text = '') THEN 'failed' WHEN bool_or(length(text) < 30 OR {QUALITY} < 0.35) THEN 'partial' ELSE 'success' END AS status, count_if(length(text) < 30 OR {QUALITY} < 0.35) AS n_warnings
+@query(f"""SELECT source, CASE WHEN bool_and(text = '') THEN 'failed' WHEN bool_or(length(text) < 30 OR {QUALITY} < 0.35) THEN 'partial' ELSE 'success' END AS status, CAST(count_if(length(text) < 30 OR {QUALITY} < 0.35) AS BIGINT) AS n_warnings
 FROM (SELECT source, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM documents) GROUP BY 1""")
 def document_status(spark, sf_dir):
     paged = t(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
@@ -279,7 +279,7 @@ def partition_active_archived(spark, sf_dir):
     return site.partitioned(order_events(spark, sf_dir), NOW).select("event_id", "active", F.col("place").cast("long").alias("place"))
 
 
-@query(f"SELECT count_if(active) AS active_count, count_if(NOT active) AS archive_count, count(*) AS detail_count FROM ({PLACED})")
+@query(f"SELECT CAST(count_if(active) AS BIGINT) AS active_count, CAST(count_if(NOT active) AS BIGINT) AS archive_count, count(*) AS detail_count FROM ({PLACED})")
 def site_counts(spark, sf_dir):
     return site.site_counts(site.partitioned(order_events(spark, sf_dir), NOW))
 
@@ -399,7 +399,7 @@ def cell_upsert(spark, sf_dir):
     return upserted(spark, sf_dir)
 
 
-@query(f"SELECT count_if(action = 'inserted') AS inserted, count_if(action = 'updated') AS updated, count(*) AS total FROM ({UPSERT})")
+@query(f"SELECT CAST(count_if(action = 'inserted') AS BIGINT) AS inserted, CAST(count_if(action = 'updated') AS BIGINT) AS updated, count(*) AS total FROM ({UPSERT})")
 def upsert_counts(spark, sf_dir):
     return rows.merge_counts(upserted(spark, sf_dir))
 
@@ -416,7 +416,7 @@ def write_back_fields(spark, sf_dir):
     return rows.write_back(known, found).select("event_id", "pos", cell("fee_text").alias("fee_text"), cell("fee_verified").alias("fee_verified"), cell("review_reason_display").alias("display"), cell("review_label").alias("review_label"))
 
 
-@query("""SELECT (SELECT count(*) FROM orders) AS total, (SELECT count_if(o_orderstatus = 'F') FROM orders) AS published, (SELECT count_if(o_orderstatus <> 'F') FROM orders) AS pending, (SELECT count(*) FROM labels) AS review, (SELECT count_if(s_acctbal > 5000) FROM supplier) AS source_errors""")
+@query("""SELECT (SELECT count(*) FROM orders) AS total, (SELECT CAST(count_if(o_orderstatus = 'F') AS BIGINT) FROM orders) AS published, (SELECT CAST(count_if(o_orderstatus <> 'F') AS BIGINT) FROM orders) AS pending, (SELECT count(*) FROM labels) AS review, (SELECT CAST(count_if(s_acctbal > 5000) AS BIGINT) FROM supplier) AS source_errors""")
 def admin_stats(spark, sf_dir):
     sources = t(spark, sf_dir, "supplier").select(F.when(F.col("s_acctbal") > 5000, 1).otherwise(0).alias("consecutive_failures"))
     return rows.admin_stats(order_events(spark, sf_dir), t(spark, sf_dir, "labels"), sources)
@@ -494,7 +494,7 @@ def set_operations(spark, sf_dir):
     return e.select("user_id", F.arrays_overlap("a", "b").alias("overlap"), F.size("h").cast("long").alias("n_high"), (F.size(F.array_except("s", F.array(F.lit("view"), F.lit("click"), F.lit("error")))) == 0).alias("contained"))
 
 
-@query("SELECT coalesce(max(l_linenumber), 0) + 1 AS next_row, strftime(least(min(l_shipdate), TIMESTAMP '2030-01-01'), '%Y-%m-%d') AS earliest FROM lineitem")
+@query("SELECT CAST(coalesce(max(l_linenumber), 0) + 1 AS BIGINT) AS next_row, strftime(least(min(l_shipdate), TIMESTAMP '2030-01-01'), '%Y-%m-%d') AS earliest FROM lineitem")
 def next_free_row(spark, sf_dir):
     l = t(spark, sf_dir, "lineitem")
     return l.agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + 1).cast("long").alias("next_row"), F.date_format(F.least(F.min("l_shipdate"), F.lit("2030-01-01").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")), "yyyy-MM-dd").alias("earliest"))
