@@ -49,12 +49,20 @@ def assess_pairs(pairs: DataFrame, compatible: bool = True) -> DataFrame:
 
 
 def candidate_pairs(events: DataFrame, keys: Column) -> DataFrame:
-    """Pairs (a, b) of events that share one of ``keys`` (an array), the lesser id first, each pair once. Blocks bound the pairs that the quadratic similarity sees."""
+    """Pairs (a, b) of events that share one of ``keys`` (an array), the lesser id first, each pair once. Blocks bound the pairs that the quadratic similarity sees.
+
+    Events that differ in nothing but their id are copies: the one of the least id stands for them in their blocks and is paired with each of them, so a group of copies costs what it has rows and no pair of different events is lost.
+    """
     own = F.struct(*events.columns)
-    keyed = events.select(own.alias("e"), F.explode(F.array_distinct(keys)).alias("key")).filter("key is not null and key <> ''")
+    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in events.columns if c != "event_id"]), {"ignoreNullFields": "false"}), 256)
+    told = events.select(own.alias("e"), F.array_distinct(keys).alias("keys"), content.alias("content"))
+    stands = told.groupBy("content").agg(F.min_by(F.struct("e", "keys"), F.col("e.event_id")).alias("r")).select("content", "r.e", "r.keys")
+    copies = told.select(F.col("e").alias("b"), "content").join(stands.select(F.col("e").alias("a"), "content"), "content").filter("a.event_id < b.event_id").select("a", "b")
+    keyed = stands.select("e", F.explode("keys").alias("key")).filter("key is not null and key <> ''")
     a, b = keyed.select(F.col("e").alias("a"), "key"), keyed.select(F.col("e").alias("b"), "key")
     pairs = a.join(b, "key").filter("a.event_id < b.event_id")
-    return pairs.groupBy(F.col("a.event_id").alias("x"), F.col("b.event_id").alias("y")).agg(F.any_value("a").alias("a"), F.any_value("b").alias("b")).select("a", "b")
+    pairs = pairs.groupBy(F.col("a.event_id").alias("x"), F.col("b.event_id").alias("y")).agg(F.any_value("a").alias("a"), F.any_value("b").alias("b")).select("a", "b")
+    return pairs.unionByName(copies)
 
 
 def priority(reasons: Column, now: Column, start: Column, deadline: Column) -> Column:

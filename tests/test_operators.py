@@ -88,9 +88,9 @@ def test_anchors_have_an_order(spark):
 
 
 def test_pairs_share_a_key_and_come_once(spark):
-    rows_ = spark.createDataFrame([("a", ["k", "l"]), ("b", ["k", "l"]), ("c", ["m"]), ("d", ["m", ""]), ("e", [""])], "event_id string, keys array<string>")
+    rows_ = spark.createDataFrame([("a", 1, ["k", "l"]), ("b", 2, ["k", "l"]), ("c", 3, ["m"]), ("d", 4, ["m", ""]), ("e", 5, [""]), ("b2", 2, ["k", "l"]), ("b3", 2, ["k", "l"])], "event_id string, n int, keys array<string>")
     got = review.candidate_pairs(rows_, F.col("keys")).select("a.event_id", "b.event_id").collect()
-    assert sorted(map(tuple, got)) == [("a", "b"), ("c", "d")]
+    assert sorted(map(tuple, got)) == [("a", "b"), ("b", "b2"), ("b", "b3"), ("c", "d")]
 
 
 def test_routing(spark):
