@@ -16,6 +16,8 @@ BROADCAST_KEYS = 1 << 20
 
 #: Tables that this process has written to the shared folder.
 WRITTEN: list[str] = []
+#: Folders made for applications that name none.
+OWN_FOLDERS: dict[str, str] = {}
 
 
 def partitions(spark: SparkSession) -> int:
@@ -23,11 +25,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder; one of our own only where the session names none, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="convena-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in OWN_FOLDERS:
+            OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="convena-")
+        found = OWN_FOLDERS[context.applicationId]
     return found.rstrip("/")
 
 
