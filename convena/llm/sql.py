@@ -25,4 +25,24 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op2_url_filter": OP2, "op3_exact_dedup": OP3}
+OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END)) AS s
+  FROM words),
+classes AS (SELECT min(doc_id) AS c, count(*) AS copies, s FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT a.c AS x, b.c AS y FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.y FROM reach JOIN links ON links.x = reach.r),
+components AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c),
+linked AS (SELECT x AS c, CAST(sum(copies) AS BIGINT) AS n FROM links JOIN classes ON classes.c = links.y GROUP BY x)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(components.component_id, sets.doc_id) AS component_id, coalesce(classes.copies - 1 + coalesce(linked.n, 0), 0) AS n_links
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN components ON components.c = classes.c LEFT JOIN linked ON linked.c = classes.c
+"""
+
+ORACLE = {"op2_url_filter": OP2, "op3_exact_dedup": OP3, "op7_jaccard_join": OP7}
