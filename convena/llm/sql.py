@@ -25,6 +25,22 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d)),
+recurring AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM windows SEMI JOIN recurring USING (h)),
+breaks AS (SELECT doc_id, i, CAST(coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, false) AS INTEGER) AS new FROM hits),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM breaks) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front, max(b) AS last
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP7 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
@@ -45,4 +61,4 @@ SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(componen
 FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN components ON components.c = classes.c LEFT JOIN linked ON linked.c = classes.c
 """
 
-ORACLE = {"op2_url_filter": OP2, "op3_exact_dedup": OP3, "op7_jaccard_join": OP7}
+ORACLE = {"op2_url_filter": OP2, "op3_exact_dedup": OP3, "op5_repeats": OP5, "op7_jaccard_join": OP7}
