@@ -30,7 +30,7 @@ HOT = 2000
 #: Bytes that numpy hashes at a time; positions in them take PLACE_BITS bits below the hash.
 CHUNK, PLACE_BITS = 1 << 18, 19
 #: Bytes of contexts that are suffix-sorted at a time.
-SORTED_BYTES = 1 << 21
+SORTED_BYTES = 1 << 20
 WORD = 8
 
 
@@ -140,8 +140,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     step = text[: n - 1].astype(np.int16) - text[1:n]
     # A place has the type of the next place whose byte differs from its successor's.
     differs = np.append(np.nonzero(step)[0], n - 1)
-    following = differs[np.searchsorted(differs, np.arange(n))]
-    small = np.append(step, -1)[following] < 0  # smaller than its successor
+    small = np.repeat(np.append(step, -1)[differs] < 0, np.diff(np.append(-1, differs)))  # smaller than its successor
     small |= text[:n] == 0
     seed = np.nonzero(small)[0]
     # An induced suffix needs those behind it up to the next seed.
@@ -149,7 +148,10 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     need = wanted.copy()
     if len(last):
         stop = seed[np.searchsorted(seed, last)]
-        need |= np.cumsum(np.bincount(last, minlength=n + 1)[:n] - np.bincount(stop + 1, minlength=n + 1)[:n]) > 0
+        change = np.zeros(n + 1, dtype=np.int32)
+        np.add.at(change, last, 1)
+        np.add.at(change, stop + 1, -1)
+        need |= np.cumsum(change[:n]) > 0
     direct = _sorted_directly(text, np.nonzero(small & need)[0])
     first = text[direct]
     edges = np.searchsorted(first, np.arange(257))
