@@ -71,11 +71,6 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def keys_range(n: int) -> Column:
-    """0 .. n-1 as an array, empty for 0."""
-    return F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
-
-
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(_node, _root): the least node that each node of the undirected edges (_a, _b) reaches; large and small stars by turns until nothing changes."""
 

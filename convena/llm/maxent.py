@@ -26,7 +26,7 @@ from .jaccard_join import LOWER, SPACE, _word_hashes
 #: Classes of common tokens, tokens in each, and open classes.
 CLASSES, WORDS, FORMS = 32, 32, 32
 OUT = CLASSES + FORMS
-#: Rows of hashed weights, and features of a context.
+#: Rows of hashed weights (a power of two), and features of a context.
 ROWS, FEATURES = 1 << 13, 4
 #: Commonest tokens whose counts every task gets: 4 MB.
 CACHED = 1 << 18
@@ -136,7 +136,7 @@ class Model:
 def _row(key: np.ndarray) -> np.ndarray:
     h = (key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - 13) if ROWS == 1 << 13 else h % np.uint64(ROWS)).astype(np.uint16 if ROWS <= 1 << 16 else np.int64)
+    return (h >> np.uint64(65 - ROWS.bit_length())).astype(np.uint16 if ROWS <= 1 << 16 else np.int64)
 
 
 def _gathered(table: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bounded, materialise
 from .jaccard_join import LOWER, SPACE, _word_hashes
 
-#: Buckets of hashed words; features of shape follow them, BINS for each.
+#: Buckets of hashed words (a power of two); features of shape follow them, BINS for each.
 WORDS, BINS, SHAPES = 1 << 20, 16, 6
 FEATURES = WORDS + BINS * SHAPES
 #: Features that the classifier weighs: those whose shares in good and bad documents differ by most standard errors, Z at least, if so many documents have them.
@@ -58,7 +58,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = SPACE[data]
     heads = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
     of = np.searchsorted(ends, heads, side="right")
-    pairs = np.unique(of.astype(np.int64) * WORDS + (hashes >> np.uint64(64 - 20)).astype(np.int64))
+    pairs = np.unique(of.astype(np.int64) * WORDS + (hashes >> np.uint64(65 - WORDS.bit_length())).astype(np.int64))
     n = len(texts)
     words = np.bincount(of, minlength=n)
     same = np.zeros(len(hashes), dtype=bool)
