@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from convena.operators import chunks, extraction, publish, resolve, review, rows, site
+from convena.operators import chunks, extraction, resolve, review, rows, site
 from convena.plans import daily
 from convena.sources import tables
 
@@ -130,6 +130,11 @@ def test_decisions_that_lack_something(spark, change):
     assert got["error"] and got["after"] is None and got["action"] is None
 
 
+def test_undecided_reviews(spark):
+    reviews, actions = spark.createDataFrame([("a",), ("b",)], "review_id string"), spark.createDataFrame([("a",), ("a",)], "review_id string")
+    assert [r["review_id"] for r in review.undecided(reviews, actions).collect()] == ["b"]
+
+
 def test_canonical_from_note(spark):
     assert spark.range(1).select(review.canonical_from_note(F.lit("x canonical_event_id = evt_1-a y"))).first()[0] == "evt_1-a"
 

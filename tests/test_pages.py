@@ -115,3 +115,12 @@ def test_stream_of_changes(spark, tmp_path):
     query.stop()
     got = spark.table("changed").collect()
     assert sorted((r["url"], r["outcome"], r["body"]) for r in got if r["outcome"] == "fetched") == [("u", "fetched", "1"), ("v", "fetched", "1"), ("v", "fetched", "2")] and len(got) == 4
+
+
+def test_stream_of_daily_counts(spark, tmp_path):
+    spark.createDataFrame([("s", "2026-01-01 01:00:00"), ("s", "2026-01-01 23:00:00"), ("s", "2026-01-05 00:00:00")], "source_id string, ts string").select("source_id", F.to_timestamp("ts").alias("ts")).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("source_id string, ts timestamp").parquet(str(tmp_path / "in"))
+    query = changes.daily_counts(source).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r["day"]["start"].day, r["n"]) for r in spark.table("daily").collect()) == [(1, 2), (5, 1)]
