@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Most keys that a broadcast may hold: 2**20 longs take about 32 MB as a hashed relation.
 BROADCAST_KEYS = 1 << 20
 
+MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 #: Tables that this process has written to the shared folder.
 WRITTEN: list[str] = []
 #: Folders made for applications that name none.
@@ -57,7 +58,13 @@ def remove_written() -> None:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Tell rows apart by their place in the scan; needs an input that is read in the same order each time, such as files."""
+    """Tell rows apart by their place in the scan; needs an input that is read in the same order each time, such as files.
+
+    Files are cut by the number of cores unless the session says otherwise, and that number changes as executors come and go; so it is held from the first use on, and every later scan is cut alike.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(MIN_PARTITIONS, None) is None:
+        spark.conf.set(MIN_PARTITIONS, str(max(spark.sparkContext.defaultParallelism, 1)))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
