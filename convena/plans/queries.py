@@ -381,7 +381,7 @@ def page_snapshots(spark, sf_dir):
     p = t(spark, sf_dir, "pages").filter("url is not null")
     listed = lambda c: F.array(c)
     return p.select(
-        F.col("page_id").alias("event_id"), F.substring("html", 1, 60).alias("title"), F.concat(F.lit("2000-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00+09:00")).alias("event_start_at"), F.lit("技士会").alias("organizer_name"),
+        F.col("page_id").alias("event_id"), parse.page_title("html").alias("title"), F.concat(F.lit("2000-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00+09:00")).alias("event_start_at"), F.lit("技士会").alias("organizer_name"),
         F.when(F.col("page_id") % 2 == 0, F.lit("Web")).otherwise(F.lit("現地開催")).alias("event_format"), listed(urls.with_host(F.col("url"), "same.example")).alias("official_urls"), listed(F.col("url")).alias("application_urls"), listed(F.sha2("html", 256)).alias("pdf_hashes"),
     )
 
@@ -396,7 +396,14 @@ def duplicate_anchors(spark, sf_dir):
 
 @query()
 def duplicate_pairs(spark, sf_dir):
-    return review.assess_pairs(review.candidate_pairs(page_snapshots(spark, sf_dir), F.transform("official_urls", urls.duplicate_form)), compatible=False)
+    snapshots = page_snapshots(spark, sf_dir)
+    pairs = review.candidate_pairs(snapshots.drop("title"), F.transform("official_urls", urls.duplicate_form))
+    # A page's hash stands for its title among the blocks, so each page is parsed once.
+    titles = snapshots.select(F.col("pdf_hashes")[0].alias("hash"), "title").filter("hash is not null").groupBy("hash").agg(F.any_value("title").alias("title"))
+    for side in "ab":
+        named = titles.select(F.col("hash").alias("_hash"), F.col("title").alias("_title"))
+        pairs = pairs.join(named, F.col(f"{side}.pdf_hashes")[0] == F.col("_hash"), "left").withColumn(side, F.col(side).withField("title", F.col("_title"))).select("a", "b")
+    return review.assess_pairs(pairs)
 
 
 def decisions(spark, sf_dir):

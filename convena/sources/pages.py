@@ -162,6 +162,12 @@ def page_text(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return _each(pages, key, html, lambda h: [text(h)], TEXT)
 
 
+@F.pandas_udf(StringType())
+def page_title(html: pd.Series) -> pd.Series:
+    """The whole title, as ``page_text`` gives it; null for a page without HTML."""
+    return html.map(lambda h: text(h)["title"] if h else None)
+
+
 def page_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return _each(pages, key, html, heading_blocks, BLOCK)
 
