@@ -1,6 +1,6 @@
 """Document quality by hierarchical empirical Bayes.
 
-Three levels of evidence meet in one posterior. A document's own evidence is a log-likelihood ratio from a logistic classifier over the words and shapes of text that tell good documents from bad ones best, fitted to a
+Three levels of evidence meet in one posterior. A document's own evidence is a log-likelihood ratio from a logistic classifier over all words and shapes of text that tell good documents from bad ones significantly, fitted to a
 bounded sample of labelled documents. A host's posterior shrinks its share of good documents toward the global one, a path's shrinks toward its host's; how strongly is estimated from
 how much the groups differ (empirical Bayes). So a sparse site stands near its parent and a well-known one on its own record. All levels are grouped sums with partial aggregation, so a hot host costs what any does.
 """
@@ -23,8 +23,8 @@ from .jaccard_join import LOWER, SPACE, _word_hashes
 #: Buckets of hashed words (a power of two); features of shape follow them, BINS for each.
 WORDS, BINS, SHAPES = 1 << 20, 16, 6
 FEATURES = WORDS + BINS * SHAPES
-#: Features that the classifier weighs: those whose shares in good and bad documents differ by most standard errors, Z at least, if so many documents have them.
-CHOSEN, Z, SUPPORT = 256, 4.0, 8
+#: Features that the classifier weighs: all whose shares in good and bad documents differ by Z standard errors or more, if so many documents have them.
+Z, SUPPORT = 4.0, 8
 #: Strength of the ridge that holds weights near 0, and the furthest that a document's evidence goes either way.
 RIDGE, LIMIT = 1.0, 40.0
 #: Weight in the posteriors of hosts and paths of a document that is not labelled: it counts as good by its own probability.
@@ -111,10 +111,10 @@ def _having(chosen: np.ndarray):
             docs, found = features(texts)
             at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
             hit = chosen[at] == found
-            docs, at = docs[hit], at[hit].astype(np.int16)
+            docs, at = docs[hit], at[hit].astype(np.int32)
             order = np.argsort(docs, kind="stable")
             lists = np.split(at[order], np.searchsorted(docs[order], np.arange(1, len(texts))))
-            yield pa.RecordBatch.from_arrays([part.column("_good"), pa.array(lists, pa.list_(pa.int16()))], names=["_good", "_x"])
+            yield pa.RecordBatch.from_arrays([part.column("_good"), pa.array(lists, pa.list_(pa.int32()))], names=["_good", "_x"])
 
     return run
 
@@ -146,31 +146,53 @@ def fit(labelled: DataFrame) -> Model | None:
     f, g, b = f[f >= 0], g[f >= 0], b[f >= 0]
     mean = (g + b) / (goods + bads)
     z = np.abs(g / goods - b / bads) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / goods + 1 / bads))
-    first = np.lexsort((f, -z))[:CHOSEN]
-    chosen = np.sort(f[first[z[first] >= Z]])
+    chosen = np.sort(f[z >= Z])
     if not len(chosen):
         return Model(chosen, np.zeros(0), base, base)
-    had = labelled.mapInArrow(_having(chosen), "_good boolean, _x array<smallint>").toArrow()
+    had = labelled.mapInArrow(_having(chosen), "_good boolean, _x array<int>").toArrow()
     y = had["_good"].to_numpy(zero_copy_only=False).astype(float)
     lists = had["_x"].combine_chunks()
-    x = np.zeros((len(y), len(chosen) + 1), np.float32)
-    x[np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
-    x[:, -1] = 1
-    theta = np.zeros(x.shape[1])
-    theta[-1] = base
-    ridge = np.append(np.full(len(chosen), RIDGE), 1e-6)
-    loss = lambda t: float(np.logaddexp(0, x @ t.astype(np.float32)).sum() - y @ (x @ t.astype(np.float32)) + ridge @ (t * t) / 2)
-    now = loss(theta)
-    for _ in range(25):  # Newton's method, with steps halved until they help
-        p = 1 / (1 + np.exp(-np.clip(x @ theta.astype(np.float32), -30, 30)))
-        gradient = x.T @ (y - p).astype(np.float32) - ridge * theta
-        step = np.linalg.solve((x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(ridge), gradient)
-        while (new := loss(theta + step)) > now and np.abs(step).max() > 1e-6:
+    theta = _logistic(y, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), len(chosen), base)
+    return Model(chosen, theta[:-1], float(theta[-1]), base)
+
+
+def _logistic(y: np.ndarray, lengths: np.ndarray, at: np.ndarray, width: int, base: float) -> np.ndarray:
+    """Weights of ``width`` features and the offset; row i of the design has a 1 for each of its ``lengths[i]`` places in ``at``, so only those are held. Newton's method, its steps by conjugate gradients."""
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    ridge = np.append(np.full(width, RIDGE), 1e-6)
+    onto = lambda t: np.bincount(row, weights=t[at], minlength=len(y)) + t[-1]
+    back = lambda r: np.append(np.bincount(at, weights=r[row], minlength=width), r.sum())
+    loss = lambda t, margin: float(np.logaddexp(0, margin).sum() - y @ margin + ridge @ (t * t) / 2)
+    theta = np.append(np.zeros(width), base)
+    margin = onto(theta)
+    now = loss(theta, margin)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        gradient = back(y - p) - ridge * theta
+        spread = p * (1 - p)
+        scale = back(spread) + ridge
+        step, left = np.zeros(width + 1), gradient.copy()
+        eased = left / scale
+        way, size = eased.copy(), left @ eased
+        target = size * 1e-2  # a rough step is enough, as the next starts from a gradient of its own
+        for _ in range(200):
+            if size <= target:
+                break
+            bent = back(spread * onto(way)) + ridge * way
+            far = size / (way @ bent)
+            step += far * way
+            left -= far * bent
+            eased = left / scale
+            size, before = left @ eased, size
+            way = eased + size / before * way
+        while (new := loss(theta + step, moved := onto(theta + step))) > now and np.abs(step).max() > 1e-6:  # halved until it helps
             step /= 2
-        theta, gain, now = theta + step, now - new, new
-        if gain < 1e-4 * len(y) * 1e-2:
+        if new > now:
             break
-    return Model(chosen, theta[:-1], float(theta[-1]), base)
+        theta, margin, gain, now = theta + step, moved, now - new, new
+        if gain < 1e-6 * len(y):
+            break
+    return theta
 
 
 def _strength(groups: DataFrame, n: str, good: str, mean: Column) -> float:
@@ -184,7 +206,7 @@ def _strength(groups: DataFrame, n: str, good: str, mean: Column) -> float:
     return float(min(max((1 - excess) / max(excess, 1e-9), WEAK), STRONG))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, training: Column, host_col: str, path_col: str, aspects: tuple[str, ...] = ("good",), id_col: str = "doc_id", text_col: str = "text", least: float = 0.4) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, training: Column, host_col: str, path_col: str, aspects: tuple[str, ...] = ("good",), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Per document: the id, ``score`` (posterior probability that every aspect is good), ``doc_score``, ``host_score`` and ``path_score`` (the same of its text, host and path alone), ``<aspect>_score`` of each aspect,
     ``kept`` (every aspect's score >= ``least``) and the host and path as ``host`` and ``path``.
 
