@@ -23,6 +23,12 @@ def anchor(a: str, b: str) -> Column:
     return F.when(shared("official_urls", urls.duplicate_form), F.lit("official_url")).when(shared("application_urls", urls.duplicate_form), F.lit("application_url")).when(shared("pdf_hashes", F.lower), F.lit("pdf_hash")).otherwise(F.lit(""))
 
 
+def anchor_keys() -> Column:
+    """Keys of all three anchors, told apart by a tag: two events share one if and only if they have an anchor."""
+    tagged = lambda name, tag, form: F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda u: F.when(form(u) != "", F.concat(F.lit(tag), form(u))))
+    return F.concat(tagged("official_urls", "official ", urls.duplicate_form), tagged("application_urls", "application ", urls.duplicate_form), tagged("pdf_hashes", "pdf ", F.lower))
+
+
 def equal_given(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) != "") & (a == b), F.lit(1.0)).otherwise(F.lit(0.0))
 

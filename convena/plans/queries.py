@@ -397,7 +397,7 @@ def duplicate_anchors(spark, sf_dir):
 @query()
 def duplicate_pairs(spark, sf_dir):
     snapshots = page_snapshots(spark, sf_dir)
-    pairs = review.candidate_pairs(snapshots.drop("title"), F.transform("official_urls", urls.duplicate_form))
+    pairs = review.candidate_pairs(snapshots.drop("title"), review.anchor_keys())
     # A page's hash stands for its title among the blocks, so each page is parsed once.
     titles = snapshots.select(F.col("pdf_hashes")[0].alias("hash"), "title").filter("hash is not null").groupBy("hash").agg(F.any_value("title").alias("title"))
     for side in "ab":
