@@ -382,7 +382,7 @@ def _links(members: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, ``n_shingles``, ``component_id``, ``n_links`` and the row's place ``_rid``.
+    """One row per input row: the id, ``n_shingles``, ``component_id``, ``n_links``, the row's place ``_rid`` and ``_group``, the least set of its component, which tells components apart whatever their ids are (null without a set).
 
     Words are runs of bytes other than white space (0x20, 0x09-0x0D), A-Z lower-cased; a document's set holds its distinct shingles of ``words`` words, or, if it has fewer, its whole sequence as one. Documents link
     if their sets do by ``threshold``; a null text, an empty one and one of white space have an empty set and link with nothing. ``component_id`` is the least id reachable by links, itself included;
@@ -414,11 +414,11 @@ def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str =
     groups = joined.join(sets.select(F.col("_set").alias("_node"), "_least_id"), "_node")
     least = groups.groupBy("_root").agg(F.min("_least_id").alias("_group_id"))
     found = sets.join(joined.withColumnRenamed("_node", "_set"), "_set", "left").join(least, "_root", "left").join(own, "_set", "left")
-    found = found.select("_set", F.coalesce("_group_id", "_least_id").alias("_component"), (F.col("_weight") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
+    found = found.select("_set", F.coalesce("_root", "_set").alias("_group"), F.coalesce("_group_id", "_least_id").alias("_component"), (F.col("_weight") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
     out = described.join(materialise(found, "op7-found"), "_set", "left")
     lone = F.col("_n") == 0
     return out.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(lone, F.col("_id")).otherwise(F.col("_component")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("_links")).cast("long").alias("n_links"), "_rid"
+        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(lone, F.col("_id")).otherwise(F.col("_component")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("_links")).cast("long").alias("n_links"), "_rid", "_group"
     )
 
 
@@ -426,6 +426,6 @@ def drop_near_copies(docs: DataFrame, words: int, threshold: Threshold, id_col:
     """``docs`` with one row of each group of linked documents: the one with the least id (of equal ids, the first in the input). Documents with an empty set all stay."""
     found = near_groups(docs, words, threshold, id_col, text_col).filter("n_shingles > 0 and n_links > 0")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_rid")
-    first = found.groupBy("component_id").agg(F.min(order).alias("first")).select("first._rid")
+    first = found.groupBy("_group").agg(F.min(order).alias("first")).select("first._rid")
     dropped = materialise(found.select("_rid").join(materialise(first, "op7-first"), "_rid", "left_anti"), "op7-dropped")
     return with_row_id(docs, "_rid").join(bounded(dropped), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
