@@ -5,7 +5,7 @@ the others. A text's bits are decoded to the nearest codeword: the loss of each
 training texts of that language (loss-weighted decoding). A text whose two nearest codewords are almost equally far is flagged as ambiguous.
 
 Classifiers are log-odds of n-gram counts summed over all training rows; counting and scoring are one pass each, in numpy over Arrow batches,
-and what is sent to executors is bounded: ``BUCKETS`` weights for each bit.
+and what is sent to executors is bounded: ``BUCKETS`` weights for each bit, of which there are 10 log2(languages).
 """
 
 from __future__ import annotations
@@ -18,10 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Buckets of hashed n-grams, and the lengths of n-grams in bytes.
 BUCKETS, ORDERS = 1 << 15, (2, 3, 4)
-#: More languages than this are refused, as the model must stay small enough to send to every executor.
-MOST_LANGUAGES = 64
+#: Up to so many languages a task counts in one dense table and the driver gets all counts; beyond that counts stay rows of (language, bucket), and only sums for each bit reach the driver.
+DENSE = 64
+#: Up to so many languages the best of 64 random codes is taken; beyond that, the first with distinct words.
+COMPARED = 1024
+#: Bits that margins are summed for at a time, and numbers that decoding holds at a time.
+BITS, DECODED = 16, 1 << 22
 #: Up to so many languages every possible bit is used; beyond that 10 log2(languages) random ones.
 EXHAUSTIVE = 7
 SMOOTHING = 0.5
@@ -54,6 +60,10 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(64):
         code = rng.choice([-1.0, 1.0], size=(n, int(np.ceil(10 * np.log2(n)))))
         code = code[:, np.abs(code.sum(axis=0)) < n]
+        if n > COMPARED:
+            if len(np.unique(code, axis=0)) == n:
+                return code
+            continue
         apart = (code.shape[1] - code @ code.T) / 2 + np.eye(n) * code.shape[1]
         if apart.min() > spread:
             best, spread = code, apart.min()
@@ -89,6 +99,14 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 def _counter(languages: list[str]):
     index = {x: i for i, x in enumerate(languages)}
 
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.array([index[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            for first, last, buckets, starts in _chunks(batch.column("text")):
+                row = np.repeat(of[first:last] * BUCKETS, np.diff(np.append(starts, buckets.shape[1])))
+                at, n = np.unique(row + buckets, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((at // BUCKETS).astype(np.int32)), pa.array((at % BUCKETS).astype(np.int32)), pa.array(n)], names=["l", "b", "c"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * BUCKETS, dtype=np.int64)
         for batch in batches:
@@ -101,24 +119,63 @@ def _counter(languages: list[str]):
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array((at // BUCKETS).astype(np.int32)), pa.array((at % BUCKETS).astype(np.int32)), pa.array(total[at])], names=["l", "b", "c"])
 
-    return count
+    return count if len(languages) <= DENSE else rows
+
+
+def _bit_sums(code: np.ndarray, totals: np.ndarray):
+    """For each bucket, the sum over languages of its share in a language: of all of them, then of those whose bit is 1, bit by bit. Each bucket's rows are in one task."""
+    ones = np.concatenate([np.ones((len(code), 1)), code > 0], axis=1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((BUCKETS, ones.shape[1]))
+        for batch in batches:
+            l, b, c = (batch.column(x).to_numpy() for x in "lbc")
+            np.add.at(sums, b, (c / totals[l])[:, None] * ones[l])
+        at = np.nonzero(sums[:, 0])[0]
+        for a in range(0, len(at), 4096):
+            some = at[a : a + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(sums[some]), pa.list_(pa.float64()))], names=["b", "sums"])
+
+    return run
+
+
+def _sparse_weights(counts: DataFrame, code: np.ndarray) -> np.ndarray:
+    """What ``fit`` computes from a dense table of counts, from rows of them."""
+    counts = materialise(counts, "op1-counts")
+    totals = np.full(len(code), SMOOTHING * BUCKETS)
+    for r in counts.groupBy("l").agg(F.sum("c").alias("c")).collect():
+        totals[r["l"]] += r["c"]
+    sums = np.zeros((BUCKETS, code.shape[1] + 1))
+    got = counts.repartition("b").sortWithinPartitions("b", "l").mapInArrow(_bit_sums(code, totals), "b int, sums array<double>").toArrow()
+    sums[got["b"].to_numpy()] = got["sums"].combine_chunks().flatten().to_numpy().reshape(-1, sums.shape[1])
+    ones = code > 0
+    sums += SMOOTHING * np.append((1 / totals).sum(), (1 / totals) @ ones)
+    n = ones.sum(axis=0)
+    return (np.log(sums[:, 1:] / n) - np.log(np.maximum(sums[:, :1] - sums[:, 1:], 1e-300) / (len(code) - n))).astype(np.float32)
 
 
 def _margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     """rows x bits: mean log-odds of each row's n-grams."""
     out = np.zeros((len(texts), weights.shape[1]))
+    parts, done = [np.ascontiguousarray(weights[:, a : a + BITS]) for a in range(0, weights.shape[1], BITS)], 0
     for first, last, buckets, starts in _chunks(texts):
         size = buckets.shape[1]
-        total = np.zeros((size, weights.shape[1]), dtype=np.float32)
-        for one in buckets:
-            total += weights[one]
         lengths = np.diff(np.append(starts, size))
-        out[first:last] = np.add.reduceat(total, starts, axis=0, dtype=np.float64) / (lengths * len(ORDERS))[:, None]
+        for some in parts:
+            total = np.zeros((size, some.shape[1]), dtype=np.float32)
+            for one in buckets:
+                total += some[one]
+            out[first:last, done : done + some.shape[1]] = np.add.reduceat(total, starts, axis=0, dtype=np.float64) / (lengths * len(ORDERS))[:, None]
+            done = (done + some.shape[1]) % weights.shape[1]
     return out
 
 
 def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nearest codeword, score from 0 to 1, ambiguous) of each row: the score is the share of the nearest in exp(-bits x distance)."""
+    most = max(DECODED // model.code.size, 1)
+    if len(margins) > most:
+        parts = [decode(model, margins[a : a + most]) for a in range(0, len(margins), most)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     agree = model.code[None] * (margins / model.scale)[:, None]
     distance = (np.logaddexp(0, -4 * agree) * model.trust[None]).sum(axis=2)
     best = distance.argmin(axis=1)
@@ -131,21 +188,12 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the rows with a non-null language and text; None if there are none."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.lit(1)).limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.lit(1)).collect())
     if not languages:
         return None
-    counts = np.zeros((len(languages), BUCKETS))
-    got = rows.mapInArrow(_counter(languages), "l int, b int, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toArrow()
-    counts[got["l"].to_numpy(), got["b"].to_numpy()] = got["c"].to_numpy()
-    likely = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
     code = codewords(len(languages))
-    weights = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
-    for bit in range(code.shape[1]):
-        ones = code[:, bit] > 0
-        if not ones.all():
-            weights[:, bit] = np.log(likely[ones].mean(axis=0)) - np.log(likely[~ones].mean(axis=0))
+    rows_of_counts = rows.mapInArrow(_counter(languages), "l int, b int, c long").groupBy("l", "b").agg(F.sum("c").alias("c"))
+    weights = _dense_weights(rows_of_counts, code) if len(languages) <= DENSE else _sparse_weights(rows_of_counts, code)
     index = {x: i for i, x in enumerate(languages)}
 
     def right(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +204,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             np.add.at(hits, of, margins * code[of] > 0)
             np.add.at(seen, of, 1)
             sizes += np.abs(margins).sum(axis=0)
-        for i in range(len(languages)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen[i]]), pa.array([hits[i]], pa.list_(pa.float64())), pa.array([sizes * (i == 0)], pa.list_(pa.float64()))], names=["l", "n", "hits", "sizes"])
+        for k, i in enumerate(np.nonzero(seen)[0].tolist()):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen[i]]), pa.array([hits[i]], pa.list_(pa.float64())), pa.array([sizes * (k == 0)], pa.list_(pa.float64()))], names=["l", "n", "hits", "sizes"])
 
     bits = range(code.shape[1])
     sums = [F.sum(F.col("hits")[b]).alias(f"h{b}") for b in bits] + [F.sum(F.col("sizes")[b]).alias(f"s{b}") for b in bits]
@@ -168,6 +216,19 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return Model(languages, code, weights, scale, trust / trust.sum(axis=1, keepdims=True))
 
 
+def _dense_weights(rows_of_counts: DataFrame, code: np.ndarray) -> np.ndarray:
+    counts = np.zeros((len(code), BUCKETS))
+    got = rows_of_counts.toArrow()
+    counts[got["l"].to_numpy(), got["b"].to_numpy()] = got["c"].to_numpy()
+    likely = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
+    weights = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
+    for bit in range(code.shape[1]):
+        ones = code[:, bit] > 0
+        if not ones.all():
+            weights[:, bit] = np.log(likely[ones].mean(axis=0)) - np.log(likely[~ones].mean(axis=0))
+    return weights
+
+
 def has_letter(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
