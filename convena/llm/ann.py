@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by collision-counting hashing with query-aware windows.
 
-Each vector is projected on ``PROJECTIONS`` random directions. An index row holds up to ``PART`` vectors and, for each projection alone, their projections in sorted
+Each vector is projected on ``PROJECTIONS`` random directions. A part holds up to ``PART`` vectors and, for each projection alone, their projections in sorted
 order. A query opens a window around its own projection in every sorted array; a vector in the window collides with it there, and one that collides in
 ``THRESHOLD`` of the projections or more is verified by its true distance. Virtual rehashing widens all windows by ``WIDEN`` until the k-th best
 verified distance lies within the half-width: then each true neighbour collides in one projection with probability 0.68 or more, and misses the threshold with a chance under 1 %.
 
-The index covers every vector. Queries come in blocks; a block meets each index row once, in a task for one block and a share of the rows, which passes on the k best only.
+Every vector is indexed, where it is read: the table isn't shuffled, and sorting a part costs little beside searching it. Queries go round in waves of ``WAVE_BYTES``, each sent to the tasks
+of one scan, which pass on the k best of each query over all their parts. So what is shuffled is k rows for each query and task, whatever the number of vectors; tasks are ``TASKS`` for each core at most.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, new_table
 
-PART, BLOCK = 4096, 128  # vectors in an index row, queries in a block
+#: Vectors sorted and searched together.
+PART = 4096
 PROJECTIONS, THRESHOLD = 40, 20
 WIDEN = 1.3
-#: Index rows that a task searches for one block of queries.
-SHARE = 8
+#: Bytes of query vectors sent to every task at a time, and tasks of a scan for each core.
+WAVE_BYTES, TASKS = 1 << 25, 4
 SEED = 20240601
 
 
@@ -44,29 +46,21 @@ def _directions(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS))
 
 
-def _blobs(batches: Iterable[pa.RecordBatch], dim: int, size: int, index: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of up to ``size`` vectors as bytes; an index also has the sorted projections and their order."""
-
-    def row(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-        projected = vectors @ _directions(dim)
-        order = np.argsort(projected, axis=0, kind="stable").astype(np.int32) if index else np.zeros(0, np.int32)
-        arrays = np.take_along_axis(projected, order, axis=0) if index else projected
-        blobs = (ids, vectors, np.ascontiguousarray(arrays.T), np.ascontiguousarray(order.T))
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], names=["ids", "vectors", "arrays", "order"])
-
+def _parts(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of up to PART rows at a time."""
     ids, vectors, held = [], [], 0
     for b in batches:
-        for start in range(0, b.num_rows, size):
-            part = b.slice(start, size)
+        for start in range(0, b.num_rows, PART):
+            part = b.slice(start, PART)
             ids.append(part.column("_id").to_numpy())
             vectors.append(_matrix(part, dim))
             held += part.num_rows
-            while held >= size:
+            if held >= PART:
                 i, v = np.concatenate(ids), np.concatenate(vectors)
-                yield row(i[:size], v[:size])
-                ids, vectors, held = [i[size:]], [v[size:]], held - size
+                yield i[:PART], v[:PART]
+                ids, vectors, held = [i[PART:]], [v[PART:]], held - PART
     if held:
-        yield row(np.concatenate(ids), np.concatenate(vectors))
+        yield np.concatenate(ids), np.concatenate(vectors)
 
 
 def _search(ids: np.ndarray, vectors: np.ndarray, arrays: np.ndarray, order: np.ndarray, own: int, query: np.ndarray, at: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,49 +104,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     candidates each, and a repeated query is answered once. Other columns are ignored; an empty table gives an empty result.
     """
     out = f"query_id long, rank int, `{id_col}` long, score double"
+    spark = vectors.sparkSession
     rows, dim = usable(vectors, id_col, vector_col)
     if not dim:
-        return vectors.sparkSession.createDataFrame([], out)
+        return spark.createDataFrame([], out)
     asked = usable(queries, id_col, vector_col)[0].filter(F.size("_v") == dim).dropDuplicates(["_id"])
-    blob = "ids binary, vectors binary, arrays binary, order binary"
-    index = materialise(rows.mapInArrow(lambda it: _blobs(it, dim, PART, True), blob), "op9-index").withColumn("_part", F.monotonically_increasing_id())
-    blocks = materialise(asked.mapInArrow(lambda it: _blobs(it, dim, BLOCK, False), blob), "op9-queries").select("ids", "vectors", "arrays").withColumn("_block", F.monotonically_increasing_id())
-    index, blocks = materialise(index, "op9-parts"), materialise(blocks, "op9-blocks")
-    n = index.count()
-    shares = -(-n // SHARE)
-    numbered = index.select(F.pmod(F.xxhash64("_part"), F.lit(shares)).alias("_share"), *[F.col(c).alias(f"i_{c}") for c in ("ids", "vectors", "arrays", "order")])
-    dealt = blocks.select("_block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("arrays").alias("q_arrays"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("_share"))
-    met = dealt.join(numbered, "_share")
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, ids = None, [], None
-        empty = (np.zeros(0), np.zeros(0, np.int64))
-
-        def done() -> pa.RecordBatch:
-            got = [(q, r + 1, w, d) for q, (near, who) in zip(ids.tolist(), best, strict=True) for r, (d, w) in enumerate(zip(near.tolist(), who.tolist(), strict=True))]
-            columns = list(zip(*got, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "_w", "score"])
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r] for c in batch.schema.names}
-                key = (row["_block"].as_py(), row["_share"].as_py())
-                if key != now:
-                    if now is not None:
-                        yield done()
-                    now, ids = key, np.frombuffer(row["q_ids"].as_py(), np.int64)
-                    best = [empty] * len(ids)
-                    asked_vectors = np.frombuffer(row["q_vectors"].as_py()).reshape(-1, dim)
-                    asked_at = np.frombuffer(row["q_arrays"].as_py()).reshape(PROJECTIONS, -1).T
-                have = np.frombuffer(row["i_ids"].as_py(), np.int64)
-                vectors_ = np.frombuffer(row["i_vectors"].as_py()).reshape(-1, dim)
-                arrays = np.frombuffer(row["i_arrays"].as_py()).reshape(PROJECTIONS, -1)
-                order = np.frombuffer(row["i_order"].as_py(), np.int32).reshape(PROJECTIONS, -1)
-                best = [_search(have, vectors_, arrays, order, int(ids[q]), asked_vectors[q], asked_at[q], best[q], k) for q in range(len(ids))]
-        if now is not None:
-            yield done()
-
-    found = met.repartition("_block", "_share").sortWithinPartitions("_block", "_share").mapInArrow(search, "query_id long, rank int, _w long, score double")
-    order_ = Window.partitionBy("query_id").orderBy("score", "_w")
-    merged = found.withColumn("rank", F.row_number().over(order_)).filter(F.col("rank") <= k)
-    return merged.select("query_id", "rank", F.col("_w").alias(id_col), "score")
+    asked = materialise(asked, "op9-queries")
+    waves = max(-(-asked.count() * 8 * dim // WAVE_BYTES), 1)
+    rows = rows.coalesce(TASKS * max(spark.sparkContext.defaultParallelism, 1))
+    path, schema = new_table(spark, "op9-found"), "query_id long, rank int, _w long, score double"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for wave in range(waves):  # distinct ids, so that a wave is as large as the others but for chance
+        own = asked.filter(F.pmod(F.xxhash64("_id"), F.lit(waves)) == wave).toArrow()
+        if not own.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((own["_id"].to_numpy(), own["_v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)))
+        found = rows.mapInArrow(_searcher(sent, dim, k), "query_id long, _w long, score double")
+        merged = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "_w"))).filter(F.col("rank") <= k)
+        merged.select("query_id", "rank", "_w", "score").write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(path).select("query_id", "rank", F.col("_w").alias(id_col), "score")
+
+
+def _searcher(sent, dim: int, k: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = sent.value
+        directions = _directions(dim)
+        asked = queries @ directions
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for have, vectors in _parts(batches, dim):
+            projected = vectors @ directions
+            order = np.argsort(projected, axis=0, kind="stable")
+            arrays, order = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T), np.ascontiguousarray(order.T.astype(np.int32))
+            best = [_search(have, vectors, arrays, order, own, query, at, found, k) for own, query, at, found in zip(ids.tolist(), queries, asked, best, strict=True)]
+        sizes = [len(who) for _, who in best]
+        if sum(sizes):
+            columns = (np.repeat(ids, sizes), np.concatenate([who for _, who in best]), np.concatenate([near for near, _ in best]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "_w", "score"])
+
+    return run

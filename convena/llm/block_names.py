@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, with_row_id
+from .common import bounded, materialise, stored, with_row_id, wrapped
 
 #: Bytes in a block: most documents have one block, the longest some dozens, and a level of pairing halves that.
 BLOCK_BYTES = 2048
@@ -66,8 +66,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their UTF-8 bytes are; a null text counts as an empty one. Of equal texts the row with the largest id
     stays (null ids are smallest); of rows that share that id too, the last in the input stays, so exactly one row of a group is
-    kept. Columns other than the two named are ignored and may have any name. An empty table gives an empty result. ``docs`` must be read
-    in the same order each time (files, or a written table).
+    kept. Columns other than the two named are ignored and may have any name. An empty table gives an empty result. ``docs`` is written once if it doesn't come straight from files.
     """
     rows = with_row_id(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_rid")
     same = materialise(_identities(rows, block_bytes).join(rows.select("_rid", "_id"), "_rid"), "op3-same")
@@ -83,5 +82,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` does not keep; the columns stay as they are."""
+    docs = stored(docs)
     dropped = materialise(exact_groups(docs, id_col, text_col, block_bytes).filter("not kept").select("_rid"), "op3-dropped")
-    return with_row_id(docs, "_rid").join(bounded(dropped), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_row_id(wrapped(docs), "_rid").join(bounded(dropped), "_rid", "left_anti").select("doc.*")

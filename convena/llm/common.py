@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 #: Most keys that a broadcast may hold: 2**20 longs take about 32 MB as a hashed relation.
 BROADCAST_KEYS = 1 << 20
 
-MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
-#: Tables that this process has written to the shared folder.
+#: Bits of a row's place within its file; the file's number stands above them.
+PLACE_BITS = 36
+#: Nodes of a plan that keep rows as the scan has them.
+KEEPING = {"Project", "Filter", "SubqueryAlias"}
+#: Tables that this process has written to the shared folder and not removed.
 WRITTEN: list[str] = []
-#: Folders made for applications that name none.
+#: Folders made for local applications that name none.
 OWN_FOLDERS: dict[str, str] = {}
 
 
@@ -26,46 +29,83 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder; one of our own only where the session names none, as in tests."""
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder; one of our own only where the session names none and is local, as in tests: elsewhere executors would not share it."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if context.applicationId not in OWN_FOLDERS:
             OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="convena-")
         found = OWN_FOLDERS[context.applicationId]
     return found.rstrip("/")
 
 
+def new_table(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder for a table that ``remove`` or the end of the process removes."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    path = new_table(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def remove_written() -> None:
-    """Remove the tables of this process when it ends: a result may need them until then, as it is lazy."""
+def remove(paths: list[str]) -> None:
+    """Remove tables of this process that nothing needs any more. Results are lazy, so a caller removes an operator's tables (those of ``WRITTEN`` since the call) once the result is written."""
     context = SparkContext._active_spark_context
-    for path in WRITTEN:
+    for path in paths:
         if context is not None and context._jsc is not None:
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
         elif path.startswith(("/", "file:")):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-    WRITTEN.clear()
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
+@atexit.register
+def remove_written() -> None:
+    """Remove the tables of this process when it ends: a result may need them until then, as it is lazy."""
+    remove(list(WRITTEN))
+
+
+def scans_files(df: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file, at most projected and filtered."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in KEEPING:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The whole row as ``doc``, so that no column of it can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written once unless its rows come straight from Parquet files: so that rows can be told apart by their place in a file."""
+    return df if scans_files(df) and "_metadata" not in {c.lower() for c in df.columns} else materialise(df, "rows")
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Tell rows apart by their place in the scan; needs an input that is read in the same order each time, such as files.
+    """``df`` (written first if need be, see ``stored``) with a number for each row that stays the same however often, and in whatever cuts, it is read: the place of its file among the sorted files, and its place in the file.
 
-    Files are cut by the number of cores unless the session says otherwise, and that number changes as executors come and go; so it is held from the first use on, and every later scan is cut alike.
+    A scan has under 2**27 files of under 2**PLACE_BITS rows; the numbers of up to ``BROADCAST_KEYS`` files are sent to all tasks.
     """
-    spark = df.sparkSession
-    if spark.conf.get(MIN_PARTITIONS, None) is None:
-        spark.conf.set(MIN_PARTITIONS, str(max(spark.sparkContext.defaultParallelism, 1)))
-    return df.withColumn(name, F.monotonically_increasing_id())
+    df = stored(df)
+    files = sorted(r[0] for r in df.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
+    placed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    number = F.lit(0).cast("long")
+    if len(files) > 1:
+        numbers = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, number long")
+        placed = placed.join(F.broadcast(numbers) if len(files) <= BROADCAST_KEYS else numbers, "file")
+        number = F.col("number")
+    return placed.select("row.*", (F.shiftleft(number, PLACE_BITS) + F.col("place")).alias(name))
 
 
 def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -95,6 +135,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     now = materialise(edges.select("_a", "_b").filter("_a <> _b").distinct(), tag)
     before, after = None, state(now)
     while before != after:
+        last = WRITTEN[-1]
         now = materialise(star(star(now, True), False), tag)
+        remove([last])
         before, after = after, state(now)
     return now.select(F.col("_a").alias("_node"), F.col("_b").alias("_root")).unionByName(now.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())

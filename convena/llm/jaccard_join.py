@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, components, materialise, with_row_id
+from .common import bounded, components, materialise, stored, with_row_id, wrapped
 
 #: Ratio of the sizes at a ring's edges.
 RING = Fraction(3, 2)
@@ -387,7 +387,7 @@ def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str =
     Words are runs of bytes other than white space (0x20, 0x09-0x0D), A-Z lower-cased; a document's set holds its distinct shingles of ``words`` words, or, if it has fewer, its whole sequence as one. Documents link
     if their sets do by ``threshold``; a null text, an empty one and one of white space have an empty set and link with nothing. ``component_id`` is the least id reachable by links, itself included;
     nulls are passed over, so it is null only if all ids reached are. ``n_links`` counts the rows linked directly, equal ones included. Shingles and sets are told apart by hashes of 64 and 128 bits. Repeated rows are copies;
-    other columns are ignored; an empty table gives an empty result. ``docs`` must be read in the same order each time (files, or a written table).
+    other columns are ignored; an empty table gives an empty result. ``docs`` is written once if it doesn't come straight from files.
     """
     rows = with_row_id(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_rid")
     kind = rows.schema["_id"].dataType.simpleString()
@@ -424,8 +424,9 @@ def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str =
 
 def drop_near_copies(docs: DataFrame, words: int, threshold: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents: the one with the least id (of equal ids, the first in the input). Documents with an empty set all stay."""
+    docs = stored(docs)
     found = near_groups(docs, words, threshold, id_col, text_col).filter("n_shingles > 0 and n_links > 0")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_rid")
     first = found.groupBy("_group").agg(F.min(order).alias("first")).select("first._rid")
     dropped = materialise(found.select("_rid").join(materialise(first, "op7-first"), "_rid", "left_anti"), "op7-dropped")
-    return with_row_id(docs, "_rid").join(bounded(dropped), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_row_id(wrapped(docs), "_rid").join(bounded(dropped), "_rid", "left_anti").select("doc.*")

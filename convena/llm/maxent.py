@@ -299,7 +299,7 @@ def score(docs: DataFrame, training: Column, text_col: str = "text") -> DataFram
     Words are runs of bytes other than white space (0x20, 0x09-0x0D), A-Z lower-cased; a text ends with one more token. ``training`` says of each row whether it is learnt from (null: not). ``base_score`` sums
     log10((c + 1) / (N + V + 1)) over tokens, with c the token's count, N all and V the distinct tokens in training; ``score`` is the model's log10 probability of the text. Words are told apart by 64-bit
     hashes. A null text counts as empty and has its end alone. Without a training row all counts are 0 and weights stay as they start. Repeated rows are scored, and learnt from, as often as they come; an empty table gives an
-    empty result. ``docs`` must be read in the same order each time (files, or a written table).
+    empty result. ``docs`` is written once if it doesn't come straight from files.
     """
     new = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]

@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", characters: bool = F
 
     Every byte goes that lies in a string of WINDOW bytes which also starts at another place of the corpus, in the same text or another, whether the occurrences overlap or not; all occurrences
     go. Strings are judged on the input and never cross texts. With ``characters`` a character goes only if all its bytes do, so ``kept`` stays UTF-8. A null text counts as empty; texts under
-    WINDOW bytes lose nothing; repeated rows are copies like others; an empty table gives an empty result. ``docs`` must be read in the same order each time (files, or a written table).
+    WINDOW bytes lose nothing; repeated rows are copies like others; an empty table gives an empty result. ``docs`` is written once if it doesn't come straight from files.
     """
     new = {"n_bytes", "spans", "kept"}
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
