@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,26 +266,95 @@ def test_scores(spark):
     assert maxent.score(df.limit(0), F.col("train")).count() == 0
 
 
-def test_probabilities_sum_to_one():
-    texts = [words(random.Random(9), 50, 3000).encode() for _ in range(60)]
+def fitted(texts):
+    """A model trained on the texts by one step for each of them, and its counts."""
     found = maxent.tokens(texts)
     h, first, n = np.unique(found.hashes, return_index=True, return_counts=True)
     order = np.lexsort((h.view(np.int64), -n))
     h, n, form = h[order], n[order], found.form[first][order]
-    m = maxent.CLASSES * maxent.WORDS
-    sums, kinds = np.bincount(form[m:], weights=n[m:], minlength=maxent.FORMS), np.bincount(form[m:], minlength=maxent.FORMS)
-    model = maxent.Model(h, n, int(n.sum()), len(n), sums, kinds)
-    state = {k: np.zeros(maxent.ROWS, np.float32) for k in ("class_seen", "word_seen")} | {k: np.ones(maxent.ROWS, np.float32) for k in ("class_size", "word_size")}
-    maxent.train_step(model, state, found)
-    symbol, _ = model.symbols(found)
-    rows = model.features(symbol, found.starts)[:, :5]
-    classes = model.class_probabilities(rows)
-    assert classes.sum(axis=1) == pytest.approx(1, abs=1e-5)
-    for k in range(maxent.CLASSES):
-        of = np.full(5, k)
-        assert model.word_probabilities(model.word_rows(rows, of), of).sum(axis=1) == pytest.approx(1, abs=1e-5)
-    # In an open class the known words and the unknown one share the whole.
-    assert (sums + kinds + 1) / model.open_size == pytest.approx(1)
+    sums, depth = np.zeros((maxent.FORMS, 16)), 4
+    for x, k, f in list(zip(h.tolist(), n.tolist(), form.tolist(), strict=True))[maxent.CLASSES * maxent.WORDS :]:
+        sums[f, x >> (64 - depth)] += k
+    model = maxent.Model(h, n, int(n.sum()), len(n), sums, int((n == 1).sum()))
+    state = maxent.new_state(model)
+    for t in texts:
+        maxent.train_step(model, state, maxent.tokens([t]))
+    return model, dict(zip(h.tolist(), n.tolist(), strict=True))
+
+
+def test_probabilities_sum_to_one():
+    texts = [words(random.Random(9 + i), 50, 3000).encode() for i in range(60)]
+    model, counts = fitted(texts)
+    found = maxent.tokens(texts[:1])
+    rank = model.ranks(found)
+    symbol, _ = model.symbols(found, rank)
+    assert model.class_probabilities(model.features(symbol, found.starts)).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    contexts = model.contexts(found, rank)[:, 7:8]
+    known = np.array(sorted(counts, key=lambda h: (-counts[h], np.array(h, np.uint64).view(np.int64))), dtype=np.uint64)
+    for c in range(maxent.CLASSES):  # all words of a common class
+        size = min(max(len(known) - c * maxent.WORDS, 0), maxent.WORDS)
+        if size:
+            of, sym = np.full(size, c), c * maxent.WORDS + np.arange(size)
+            assert np.exp(model.halves(np.repeat(contexts, size, axis=1), sym, of, sym * 0)).sum() == pytest.approx(1, abs=1e-5)
+    for c in range(maxent.CLASSES, maxent.OUT):  # all leaves of an open class; a leaf's size is the counts of its words and the unknown ones' count
+        of, leaf = np.full(16, c), np.arange(16)
+        assert np.exp(model.halves(np.repeat(contexts, 16, axis=1), of * 0, of, leaf)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def plain_score(model, counts, text):
+    """The score from the definition, token by token in plain Python."""
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    def row(key):
+        h = (key + 1) * 0x9E3779B97F4A7C15 & mask
+        return ((h ^ h >> 32) * 0xBF58476D1CE4E5B9 & mask) >> (65 - maxent.ROWS.bit_length())
+
+    found = maxent.tokens([text])
+    place = {int(h): int(r) for h, r in zip(model.cached, model.rank, strict=True)}
+    total, symbols, own = 0.0, [], []
+    for h, form in zip(found.hashes.tolist(), found.form.tolist(), strict=True):
+        back = [(symbols[-k] + 1 if len(symbols) >= k else 0) for k in (1, 2, 3)]
+        rows = [row(back[0] << 2), row(back[1] << 2 | 1), row(back[2] << 2 | 2), row((back[0] << 20 | back[1]) << 2 | 3)]
+        rank = place.get(h, 1 << 30)
+        common = rank < maxent.CLASSES * maxent.WORDS
+        c = rank // maxent.WORDS if common else maxent.CLASSES + form
+        logits = [float(model.class_bias[o] + sum(model.class_weights[r][o] for r in rows)) for o in range(maxent.OUT)]
+        total += logits[c] - np.log(sum(np.exp(x) for x in logits))
+        contexts = [mixed(((own[-k] if len(own) >= k else 1) + ((k - 1) << 40)) & mask) for k in (1, 2)]
+        depth = maxent.WORDS.bit_length() - 1 if common else model.depth
+        way = rank % maxent.WORDS if common else h >> (64 - depth)
+        base = c * maxent.WORDS if common else maxent.CLASSES * maxent.WORDS + ((c - maxent.CLASSES) << depth)
+        for level in range(depth):
+            node = base + (1 << level) + (way >> (depth - level))
+            z = float(model.half_bias[node]) + sum(float(model.half_weights[(x + node * 0x9E3779B97F4A7C15 & mask) >> (64 - model.bits)]) for x in contexts)
+            total -= np.log1p(np.exp(-z if way >> (depth - level - 1) & 1 else z))
+        if not common:
+            total += np.log((counts.get(h) or model.unknown) / float(model.leaf_size[form, way]))
+        symbols.append(rank if common else maxent.CLASSES * maxent.WORDS + form)
+        own.append(h if rank < maxent.CONTEXTS else form + 2)
+    return total / np.log(10)
+
+
+def test_score_from_the_definition(spark):
+    texts = [words(random.Random(19 + i), 60, 4000) for i in range(80)]
+    model, counts = fitted([t.encode() for t in texts[:60]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([None] * 80, pa.string()), pa.array(texts)], names=["_rid", "_own", "_text"])
+    got = [x for b in maxent._scorer(model)([batch]) for x in b.column("_score").to_pylist()]
+    assert got == pytest.approx([plain_score(model, counts, t.encode()) for t in texts], rel=1e-4)
+
+
+def test_commonest(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 2, 5, 300, 301, 5000 + i])) for i in range(400)]
+    h, n = maxent.commonest(spark.createDataFrame(rows, "_h long, _n long"), 150)
+    assert len(h) <= 150 and n.tolist() == sorted((x for _, x in rows), reverse=True)[: len(h)]
+    assert all(x < n[-1] for i, x in rows if i not in set(h.tolist()))
+    assert len(maxent.commonest(spark.createDataFrame([(i, 1) for i in range(10)], "_h long, _n long"), 5)[0]) == 0
 
 
 # Jaccard join
