@@ -275,7 +275,7 @@ def fitted(texts):
     sums, depth = np.zeros((maxent.FORMS, 16)), 4
     for x, k, f in list(zip(h.tolist(), n.tolist(), form.tolist(), strict=True))[maxent.CLASSES * maxent.WORDS :]:
         sums[f, x >> (64 - depth)] += k
-    model = maxent.Model(h, n, int(n.sum()), len(n), sums, int((n == 1).sum()))
+    model = maxent.Model(h, n, int(n.sum()), len(n), sums)
     state = maxent.new_state(model)
     for t in texts:
         maxent.train_step(model, state, maxent.tokens([t]))
@@ -296,7 +296,7 @@ def test_probabilities_sum_to_one():
         if size:
             of, sym = np.full(size, c), c * maxent.WORDS + np.arange(size)
             assert np.exp(model.halves(np.repeat(contexts, size, axis=1), sym, of, sym * 0)).sum() == pytest.approx(1, abs=1e-5)
-    for c in range(maxent.CLASSES, maxent.OUT):  # all leaves of an open class; a leaf's size is the counts of its words and the unknown ones' count
+    for c in range(maxent.CLASSES, maxent.OUT):  # all leaves of an open class; a leaf's size is the counts of its words and one for unknown ones
         of, leaf = np.full(16, c), np.arange(16)
         assert np.exp(model.halves(np.repeat(contexts, 16, axis=1), of * 0, of, leaf)).sum() == pytest.approx(1, abs=1e-5)
 
@@ -334,7 +334,7 @@ def plain_score(model, counts, text):
             z = float(model.half_bias[node]) + sum(float(model.half_weights[(x + node * 0x9E3779B97F4A7C15 & mask) >> (64 - model.bits)]) for x in contexts)
             total -= np.log1p(np.exp(-z if way >> (depth - level - 1) & 1 else z))
         if not common:
-            total += np.log((counts.get(h) or model.unknown) / float(model.leaf_size[form, way]))
+            total += np.log(counts.get(h, 1) / float(model.leaf_size[form, way]))
         symbols.append(rank if common else maxent.CLASSES * maxent.WORDS + form)
         own.append(h if rank < maxent.CONTEXTS else form + 2)
     return total / np.log(10)
