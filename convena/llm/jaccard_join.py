@@ -6,9 +6,10 @@ windows would replicate all to all; see the README), hence the first regions are
 ring can differ in shingles, so linked sets agree entirely in a class. Each distinct projection is a pivot, its Voronoi region holds the sets at distance 0 from it there, and linked
 sets share regions: so many that a set with fewer recurring regions drops out. Regions that share sets form a cluster.
 
-Clusters join exactly in one task: sets are sorted by their distance to a pivot document, and by the triangle inequality a set is compared only with the window of sets whose distance differs by
-e at most. A cluster too large for that is parted recursively: each set goes to the Voronoi region of its nearest pivot document and, if it lies within 2e of the
-boundary, to those beyond; what still doesn't get smaller is joined block by block.
+Clusters join exactly, recursively. A cluster too large for one task is parted: each set goes to the Voronoi region of its nearest pivot document and, if it lies within 2e of the boundary, to those
+beyond, and so on while that makes regions smaller; what doesn't get smaller is joined block by block. In a task, each pivot in turn takes the sets within e of it that no pivot before has taken;
+by the triangle inequality what they link to lies within 2e of it, and of those only within a window of e round their own distance, by each of the pivots that a large region gets besides. Pairs
+whose distances to a pivot sum up to e at most are linked without a look at their shingles; all others in the window are compared. Which sets lie within 2e of a pivot is looked up by its rarest shingles, one of which they must share.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ RING = Fraction(3, 2)
 SPARE, SPARE_SHARE = 3, 4
 #: Shingles that the sets of a region joined in one task may have together; beyond that it is parted.
 REGION_SHINGLES = 1 << 21
-#: Pivot documents of a parted region.
-PIVOTS = 8
+#: Pivot documents of a parted region, and how often at most regions are parted again.
+PIVOTS, LEVELS = 8, 8
+#: Sets that a pivot may have taken before its region gets more pivots, and how many more.
+FEW, MORE_PIVOTS = 32, 3
 #: Recurring regions that may be sent to every task.
 BROADCAST_REGIONS = 1 << 21
 CHUNK = 1 << 19
@@ -242,57 +245,115 @@ def _shared(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, flags: np.nda
     return found
 
 
+class Region:
+    """Sets in the order of their distances to a pivot, laid end to end."""
+
+    def __init__(self, members: np.ndarray, far: np.ndarray, places: np.ndarray, cuts: np.ndarray, sizes: np.ndarray, flags: np.ndarray):
+        order = np.argsort(far, kind="stable")
+        self.members, self.far, self.flags = members[order], far[order], flags
+        self.sizes = sizes[self.members]
+        self.cuts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([places[cuts[y] : cuts[y] + sizes[y]] for y in self.members.tolist()])
+        self.pivots = self.far[None]
+
+    def own(self, i: int) -> np.ndarray:
+        return self.flat[self.cuts[i] : self.cuts[i] + self.sizes[i]]
+
+    def common(self, i: int, some: np.ndarray) -> np.ndarray:
+        """Shingles that member ``i`` has in common with some others, given in order."""
+        first, last = int(some[0]), int(some[-1])
+        if 2 * len(some) > last - first:  # most of a stretch: it lies together already
+            flat = self.flat[self.cuts[first] : self.cuts[last] + self.sizes[last]]
+            return _shared(self.own(i), flat, self.cuts[first : last + 1] - self.cuts[first], self.flags)[some - first]
+        return _shared(self.own(i), np.concatenate([self.own(y) for y in some.tolist()]), np.cumsum(self.sizes[some]) - self.sizes[some], self.flags)
+
+    def add_pivots(self, n: int) -> None:
+        """Distances to ``n`` more pivots, each the member farthest from those before."""
+        everyone = np.arange(len(self.members))
+        for _ in range(n):
+            i = int(self.pivots.min(axis=0).argmax())
+            both = self.common(i, everyone)
+            self.pivots = np.concatenate([self.pivots, (1 - both / (self.sizes + self.sizes[i] - both))[None]])
+
+
 def join_region(prints: list[bytes], weights: list[int], sets: list[np.ndarray], home: list[bool], threshold: Threshold, side: list[int] | None = None) -> list[tuple[bytes, bytes, int]]:
-    """(set, least set that it is linked to within the region, documents that it links to) for each set with a link. A pair is looked at where its lesser set is at home, and in a region of two blocks (sides 1 and 2) if it has one of each."""
+    """(set, least set that it is linked to within the region, documents that it links to) for each set with a link. A pair counts where its lesser set is at home, and in a region of two blocks (sides 1 and 2) if it has one of each."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, places = np.unique(np.concatenate(sets), return_inverse=True)
     flags = np.zeros(int(places.max()) + 1, np.uint8)
     cuts = np.cumsum(sizes) - sizes
-    # The pivot is the largest set. The window of distances to it errs on the side of more.
-    pivot = int(sizes.argmax())
-    common = _shared(places[cuts[pivot] : cuts[pivot] + sizes[pivot]], places, cuts, flags)
-    far = 1 - common / (sizes + sizes[pivot] - common)
-    reach = 1 - threshold.part / threshold.whole + 1e-9
-    # Linked sets share one of their rarest shingles, of which each has as many as it can lose and one more.
-    rarity = np.bincount(places)
     rows = np.repeat(np.arange(n), sizes)
-    order = np.lexsort((places, rarity[places], rows))
-    ranked, nth = places[order], np.arange(len(places)) - np.repeat(cuts, sizes)
-    lost = sizes - -(-threshold.part * sizes // threshold.whole)
-    front = (nth <= lost[rows]) & (rarity[ranked] > 1)
-    by_place = np.argsort(ranked[front], kind="stable")
-    posted, posts = rows[front][by_place], np.searchsorted(ranked[front][by_place], np.arange(len(rarity) + 1))
-    fronts, front_cuts = ranked[front], np.searchsorted(rows[front], np.arange(n + 1))
-    root, links = list(range(n)), [0] * n
+    by_place = np.argsort(places, kind="stable")
+    rarity = np.bincount(places)
+    posted, posts = rows[by_place], np.concatenate([[0], np.cumsum(rarity)])
+    rank = np.empty(n, np.int64)
+    rank[sorted(range(n), key=prints.__getitem__)] = np.arange(n)
+    weight, at_home, sides = np.array(weights, np.int64), np.array(home, bool), np.array(side if side else [0] * n)
+    root, links = np.arange(n), np.zeros(n, np.int64)
+    # Distances are compared with some slack: exclusion errs on the side of more, inclusion on the side of fewer.
+    part, whole, reach, slack = threshold.part, threshold.whole, 1 - threshold.part / threshold.whole, 1e-9
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
-            i = root[i]
+            i = int(root[i])
         return i
 
-    for x in range(n):
-        met = [posted[posts[p] : posts[p + 1]] for p in fronts[front_cuts[x] : front_cuts[x + 1]].tolist()]
-        near = np.unique(np.concatenate(met)) if met else posted[:0]
-        near = near[(near > x) & (np.abs(far[near] - far[x]) <= reach)]
-        near = near[(threshold.whole * sizes[near] >= threshold.part * sizes[x]) & (threshold.whole * sizes[x] >= threshold.part * sizes[near])]
-        if not len(near):
+    def link(x: int, linked: np.ndarray) -> None:
+        counts = np.where(rank[linked] < rank[x], at_home[linked], at_home[x]) & ((sides[x] == 0) | (sides[linked] != sides[x]))
+        linked = linked[counts]
+        links[x] += weight[linked].sum()
+        links[linked] += weight[x]
+        for i in np.unique(root[linked]).tolist():
+            a, b = find(i), find(x)
+            root[max(a, b)] = min(a, b)
+        root[linked] = find(x)
+
+    taken = np.zeros(n, bool)
+    for pivot in np.argsort(-sizes, kind="stable").tolist():
+        if taken[pivot]:
             continue
-        flat = np.concatenate([places[cuts[y] : cuts[y] + sizes[y]] for y in near.tolist()])
-        both = _shared(places[cuts[x] : cuts[x] + sizes[x]], flat, np.cumsum(sizes[near]) - sizes[near], flags)
-        for y in near[threshold.whole * both >= threshold.part * (sizes[x] + sizes[near] - both)].tolist():
-            if home[x if prints[x] < prints[y] else y] and (not side or not side[x] or side[x] != side[y]):
-                links[x] += weights[y]
-                links[y] += weights[x]
-                r, s = find(x), find(y)
-                if r != s:
-                    root[max(r, s)] = min(r, s)
-    least: dict[int, bytes] = {}
-    for i in range(n):
+        # Sets within 2e of the pivot share this many of its shingles at least, so one of its rarest.
+        least = max(-(-(2 * part - whole) * int(sizes[pivot]) // whole), 1)
+        own = places[cuts[pivot] : cuts[pivot] + sizes[pivot]]
+        if 2 * part > whole:
+            rare = own[np.argsort(rarity[own], kind="stable")[: sizes[pivot] - least + 1]]
+            met = np.unique(np.concatenate([posted[posts[p] : posts[p + 1]] for p in rare.tolist()]))
+        else:  # 2e is the greatest distance there is
+            met = np.arange(n)
+        met = met[~taken[met] & (sizes[met] >= least)]
+        taken[pivot] = True
+        if len(met) == 1:
+            continue
+        both = _shared(own, np.concatenate([places[cuts[y] : cuts[y] + sizes[y]] for y in met.tolist()]), np.cumsum(sizes[met]) - sizes[met], flags)
+        far = 1 - both / (sizes[met] + sizes[pivot] - both)
+        near = far <= 2 * reach + slack
+        if near.sum() == 1:
+            continue
+        region = Region(met[near], far[near], places, cuts, sizes, flags)
+        core = int(np.searchsorted(region.far, reach + slack, side="right"))
+        taken[region.members[:core]] = True
+        if core > FEW:
+            region.add_pivots(MORE_PIVOTS)
+        for i in range(core):
+            last = int(np.searchsorted(region.far, region.far[i] + reach + slack, side="right"))
+            window = np.arange(i + 1, last)
+            apart = region.pivots[:, i + 1 : last]
+            window = window[(np.abs(apart - region.pivots[:, i : i + 1]) <= reach + slack).all(axis=0) & (whole * region.sizes[i + 1 : last] >= part * region.sizes[i]) & (whole * region.sizes[i] >= part * region.sizes[i + 1 : last])]
+            if not len(window):
+                continue
+            sure = (region.pivots[:, window] + region.pivots[:, i : i + 1]).min(axis=0) <= reach - slack
+            open_ = window[~sure]
+            if len(open_):
+                both = region.common(i, open_)
+                open_ = open_[whole * both >= part * (region.sizes[i] + region.sizes[open_] - both)]
+            link(int(region.members[i]), region.members[np.concatenate([window[sure], open_])])
+    least_of: dict[int, bytes] = {}
+    for i in np.nonzero(links)[0].tolist():
         r = find(i)
-        least[r] = min(least.get(r, prints[i]), prints[i])
-    return [(prints[i], least[find(i)], links[i]) for i in range(n) if links[i]]
+        least_of[r] = min(least_of.get(r, prints[i]), prints[i])
+    return [(prints[i], least_of[find(i)], int(links[i])) for i in np.nonzero(links)[0].tolist()]
 
 
 def _joiner(threshold: Threshold):
@@ -350,31 +411,44 @@ def _large(members: DataFrame) -> DataFrame:
     return materialise(sizes.filter(F.col("_total") > REGION_SHINGLES).select("_region", F.ceil(F.col("_total") / REGION_SHINGLES).alias("_blocks")), "op7-large")
 
 
+def _parted(big: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(sets of the regions that parting made smaller, by their new regions; names of those regions as they were). Parting counts if it replicates less than twofold and leaves no part with more than nine tenths; else it would cost more than it saves."""
+    first = Window.partitionBy("_region").orderBy(F.xxhash64("_set"))
+    chosen = big.select("_region", "_set").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= PIVOTS).select("_region", "_set")
+    pivots = materialise(big.join(chosen, ["_region", "_set"]).groupBy("_region").agg(F.collect_list(F.struct("_set", "_own")).alias("_pivots")), "op7-pivots")
+    parted = materialise(big.join(pivots, "_region").mapInArrow(_assigner(threshold), MEMBER + ", _parent long"), "op7-parted")
+    copies = parted.groupBy(F.col("_parent").alias("_region"), F.col("_region").alias("_part")).agg(F.count("*").alias("_n"), F.sum(F.octet_length("_own")).alias("_total"))
+    copies = copies.groupBy("_region").agg(F.sum("_n").alias("_n"), F.max("_total").alias("_most"))
+    whole = big.groupBy("_region").agg(F.count("*").alias("_m"), F.sum(F.octet_length("_own")).alias("_all"))
+    good = materialise(copies.join(whole, "_region").filter((F.col("_n") <= 2 * F.col("_m")) & (F.col("_most") <= 0.9 * F.col("_all"))).select("_region"), "op7-good")
+    return parted.join(good.withColumnRenamed("_region", "_parent"), "_parent", "left_semi").select("_region", "_set", "_weight", "_own", "_home"), good
+
+
+def _blocked(rest: DataFrame) -> DataFrame:
+    """Regions block by block: the task of the blocks (i, j) holds both, and a pair of one block counts in (i, i) only."""
+    rest = rest.withColumn("_b", F.pmod(F.xxhash64("_set"), F.col("_blocks")))
+    dealt = rest.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    low, high = F.least("_b", "_o"), F.greatest("_b", "_o")
+    return dealt.select(F.xxhash64("_region", low, high).alias("_region"), "_set", "_weight", "_own", "_home", F.when(F.col("_b") == F.col("_o"), F.lit(0)).when(F.col("_b") < F.col("_o"), F.lit(1)).otherwise(F.lit(2)).alias("_side"))
+
+
 def _links(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """(_set, _least, _links) of all regions; those with too many shingles are parted first."""
-    large = _large(members)
-    if large.isEmpty():
-        parts = [members]
+    """(_set, _least, _links) of all regions; those with too many shingles are parted first, again and again while that helps."""
+    now, parts = members, []
+    for _ in range(LEVELS):
+        large = _large(now)
+        if large.isEmpty():
+            break
+        parts.append(now.join(bounded(large.select("_region")), "_region", "left_anti"))
+        big = now.join(bounded(large), "_region")
+        now, good = _parted(big.drop("_blocks"), threshold)
+        parts.append(_blocked(big.join(good, "_region", "left_anti")))
     else:
-        parts = [members.join(bounded(large.select("_region")), "_region", "left_anti")]
-        big = members.join(bounded(large), "_region")
-        first = Window.partitionBy("_region").orderBy(F.xxhash64("_set"))
-        chosen = big.select("_region", "_set").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= PIVOTS).select("_region", "_set")
-        pivots = materialise(big.join(chosen, ["_region", "_set"]).groupBy("_region").agg(F.collect_list(F.struct("_set", "_own")).alias("_pivots")), "op7-pivots")
-        parted = materialise(big.drop("_blocks").join(pivots, "_region").mapInArrow(_assigner(threshold), MEMBER + ", _parent long"), "op7-parted")
-        # Parting counts only where it replicates little and leaves no part too large; elsewhere it would cost more than it saves.
-        copies = parted.groupBy(F.col("_parent").alias("_region"), F.col("_region").alias("_part")).agg(F.count("*").alias("_n"), F.sum(F.octet_length("_own") / 8).alias("_total"))
-        copies = copies.groupBy("_region").agg(F.sum("_n").alias("_n"), F.max("_total").alias("_most"))
-        whole = big.groupBy("_region").agg(F.count("*").alias("_m"))
-        good = materialise(copies.join(whole, "_region").filter((F.col("_n") <= 2 * F.col("_m")) & (F.col("_most") <= REGION_SHINGLES)).select("_region"), "op7-good")
-        parts.append(parted.join(good.withColumnRenamed("_region", "_parent"), "_parent", "left_semi").select("_region", "_set", "_weight", "_own", "_home"))
-        # The rest block by block: the task of the blocks (i, j) holds both, and a pair of one block counts in (i, i) only.
-        rest = big.join(good, "_region", "left_anti").withColumn("_b", F.pmod(F.xxhash64("_set"), F.col("_blocks")))
-        dealt = rest.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-        low, high = F.least("_b", "_o"), F.greatest("_b", "_o")
-        parts.append(dealt.select(F.xxhash64("_region", low, high).alias("_region"), "_set", "_weight", "_own", "_home", F.when(F.col("_b") == F.col("_o"), F.lit(0)).when(F.col("_b") < F.col("_o"), F.lit(1)).otherwise(F.lit(2)).alias("_side")))
-    rows = parts[0]
-    for part in parts[1:]:
+        large = _large(now)
+        parts.append(_blocked(now.join(bounded(large), "_region")))
+        now = now.join(bounded(large.select("_region")), "_region", "left_anti")
+    rows = now
+    for part in parts:
         rows = rows.unionByName(part, allowMissingColumns=True)
     rows = rows if "_side" in rows.columns else rows.withColumn("_side", F.lit(0))
     rows = rows.withColumn("_side", F.coalesce("_side", F.lit(0)))

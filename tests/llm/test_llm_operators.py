@@ -395,6 +395,50 @@ def test_near_groups(spark, monkeypatch, n, part, small):
     assert len(edges) > 50
 
 
+@pytest.mark.parametrize("part", [40, 50, 80, 90])
+def test_join_region(part):
+    rng = random.Random(part)
+    base = [rng.sample(range(5000), k) for k in (1, 2, 30, 60, 60, 200)]
+    sets = {tuple(sorted({*rng.sample(b, max(len(b) - rng.randrange(1 + len(b) // 3), 1)), *(rng.randrange(5000) for _ in range(rng.randrange(1 + len(b) // 5)))})) for b in base for _ in range(70)}
+    arrays = [np.array(x, np.uint64) for x in sets]
+    prints, weights = [b"%06d" % rng.randrange(10**6) + str(i).encode() for i in range(len(arrays))], [rng.randrange(1, 4) for _ in arrays]
+    home, side = [rng.random() < 0.7 for _ in arrays], [rng.randrange(3) for _ in arrays]
+    for sides in (None, side):
+        links, edges = Counter(), []
+        for i, a in enumerate(map(set, sets)):
+            for j, b in enumerate(list(map(set, sets))[:i]):
+                if 100 * len(a & b) >= part * len(a | b) and home[i if prints[i] < prints[j] else j] and (not sides or sides[i] == 0 or sides[j] == 0 or sides[i] != sides[j]):
+                    links[i] += weights[j]
+                    links[j] += weights[i]
+                    edges.append((i, j))
+        reach = brute_components(edges)
+        least = {r: min(prints[i] for i in reach if reach[i] == r) for r in reach.values()}
+        got = jaccard_join.join_region(prints, weights, arrays, home, jaccard_join.Threshold(part, 100), sides)
+        assert len(edges) > 8 and sorted(got) == sorted((prints[i], least[reach[i]], links[i]) for i in links)
+
+
+def test_parting_goes_on(spark, monkeypatch):
+    """Clusters within a cluster: each level of pivots makes regions smaller, until they fit a task."""
+    monkeypatch.setattr(jaccard_join, "REGION_SHINGLES", 2500)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    parted = []
+    once = jaccard_join._parted
+    monkeypatch.setattr(jaccard_join, "_parted", lambda big, t: parted.append(1) or once(big, t))
+    rng = random.Random(4)
+    # Two families of three groups: groups of a family share half their shingles.
+    pools = [[f * 10000 + x for x in range(50)] + [f * 10000 + 1000 * (g + 1) + x for x in range(50)] for f in range(2) for g in range(3)]
+    pools[2], pools[3] = pools[3], pools[2]  # so that the three pivots are of both families
+    sets = [np.unique(np.array(rng.sample(pool, 97), np.uint64)) for pool in pools for _ in range(10)]
+    rows = [(1, b"%05d" % i, 1, s.tobytes(), True) for i, s in enumerate(sets)]
+    t = jaccard_join.Threshold(90, 100)
+    got = defaultdict(int)
+    for r in jaccard_join._links(spark.createDataFrame(rows, jaccard_join.MEMBER), t).collect():
+        got[bytes(r["_set"])] += r["_links"]
+    own = [set(s.tolist()) for s in sets]
+    want = {b"%05d" % i: sum(100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(own) if j != i) for i, a in enumerate(own)}
+    assert dict(got) == {k: v for k, v in want.items() if v} and sum(want.values()) > 100 and len(parted) > 1
+
+
 def test_near_groups_of_odd_rows(spark):
     t = jaccard_join.Threshold(90, 100)
     df = spark.createDataFrame([(None, "a b c d"), (5, "A b c d"), (5, "a b c d"), (7, ""), (7, None)], DOCS).withColumn("component_id", F.lit("own"))
