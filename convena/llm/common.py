@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Most keys that a broadcast may hold: 2**20 longs take about 32 MB as a hashed relation.
 BROADCAST_KEYS = 1 << 20
 
+#: Most rows that a broadcast with other columns beside the keys may hold, and tasks that a key's rows are dealt over otherwise.
+SMALL_KEYS, SALTS = 1 << 14, 8
 #: Bits of a row's place within its file; the file's number stands above them.
 PLACE_BITS = 36
 #: Nodes of a plan that keep rows as the scan has them.
@@ -113,6 +115,15 @@ def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], salt: str) -> DataFrame:
+    """``left`` joined to ``right`` (materialised, unique by ``on``) where one key may have much of ``left``: by broadcast if ``right`` is small, else each key's rows are dealt out by ``salt`` over SALTS tasks, to each of which goes its row of ``right``."""
+    small = bounded(right, SMALL_KEYS)
+    if small is not right:
+        return left.join(small, on)
+    dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS).cast("long"))).join(dealt, [*on, "_salt"]).drop("_salt")
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, with_row_id
+from .common import bounded, dealt_join, materialise, with_row_id
 
 #: Bytes of a string that counts as repeated, and of the strings whose least hash is a window's anchor.
 WINDOW, GRAM = 200, 32
@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", characters: bool = F
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     numbered = with_row_id(docs.select(F.struct(*own).alias("_own"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), "_rid")
     places, flagged = _flagged(numbered.select("_rid", "_text"))
-    marks = places.join(flagged, ["_h", "_c", "_run"]).groupBy("_rid").agg(F.collect_list(F.struct("_pos", "_mask")).alias("_marks"))
+    marks = dealt_join(places, flagged, ["_h", "_c", "_run"], "_rid").groupBy("_rid").agg(F.collect_list(F.struct("_pos", "_mask")).alias("_marks"))
     marks = materialise(marks, "op5-marks")
     touched = bounded(marks.select("_rid"))
     kind, none = numbered.schema["_own"].dataType.simpleString(), F.array().cast("array<struct<start:long,end:long>>")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Sampled keys for each range when boundaries are chosen; boundaries steer the work and never the result.
-SAMPLE_PER_RANGE = 32
+SAMPLE_PER_RANGE, SAMPLE_MOST = 32, 1 << 15
 LEAST, LAST_CHAR = -(1 << 63), "\U0010ffff"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,7 +109,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
     parsed = parsed.withColumns({"_key": key_of("host"), "_salt": F.xxhash64(F.monotonically_increasing_id())})
     own = parsed.schema["_own"].dataType.simpleString()
     n = partitions(spark)
-    marks = sorted(map(tuple, parsed.select("_key", "path", "_salt").orderBy(F.xxhash64("_salt")).limit(n * SAMPLE_PER_RANGE).collect()))
+    # A share of the rows by hash: no task gathers or sorts them, and the driver gets SAMPLE_MOST of them at most, but for chance.
+    share = min(min(n * SAMPLE_PER_RANGE, SAMPLE_MOST) / max(pages.count(), 1), 1)
+    marks = sorted(map(tuple, parsed.select("_key", "path", "_salt").filter(F.xxhash64("_salt") <= int(LEAST + share * (2**64 - 1))).collect()))
     bounds = [marks[len(marks) * i // n] for i in range(1, n)] if marks else []
     ranged = parsed.mapInArrow(_dealer(bounds), f"_range int, _own {own}, host string, path string, _key string, _salt long")
     none = F.lit(None).cast("string")
