@@ -31,7 +31,7 @@ RING = Fraction(3, 2)
 #: A ring has more classes than linked sets can differ in: by a quarter of that number, three at least. So linked sets share many regions, and a set that shares few has no link.
 SPARE, SPARE_SHARE = 3, 4
 #: Shingles that the sets of a region joined in one task may have together; beyond that it is parted.
-REGION_SHINGLES = 1 << 21
+REGION_SHINGLES = 1 << 20
 #: Pivot documents of a parted region, and how often at most regions are parted again.
 PIVOTS, LEVELS = 8, 8
 #: Sets that a pivot may have taken before its region gets more pivots, and how many more.
