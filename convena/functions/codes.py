@@ -106,3 +106,14 @@ def cache_key(request: Column, provider: str, model: str, prompt_version: str) -
     """SHA-256 of a request as JSON with what answers it."""
     parts = F.struct(F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), F.lit(provider).alias("provider"), request.alias("request"))
     return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+
+
+def column_letter(n: Column) -> Column:
+    """The letters of a sheet's column by its number, from 1 (A) to 18278 (ZZZ); null beyond."""
+    letter = lambda i: F.char(F.lit(65) + i % 26)
+    one, two, three = n - 1, n - 27, n - 703
+    return (
+        F.when(n.between(1, 26), letter(one))
+        .when(n.between(27, 702), F.concat(letter(F.floor(two / 26)), letter(two)))
+        .when(n.between(703, 18278), F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
+    )

@@ -38,6 +38,19 @@ def _candidate(rows: DataFrame, detail: Column, title: Column, pdfs: Column, met
     return rows.select("key", F.col("url").alias("source_url"), detail.alias("detail_url"), title.alias("title_hint"), pdfs.alias("pdf_urls"), (published if published is not None else none).alias("published_at"), F.lit(method).alias("discovery_method"), block.alias("block_text"), F.lit(confidence).alias("confidence_hint"), F.col("pos"))
 
 
+def gated(sources: DataFrame, enabled: list[str] | None = None, force: bool = False) -> DataFrame:
+    """``sources`` with ``runs`` and ``status``: a source that is not enabled (by its row, or by ``enabled`` where that is given) doesn't run unless forced, and is ``disabled``."""
+    on = F.coalesce(F.col("enabled"), F.lit(False)) if enabled is None else F.col("source_id").isin(enabled)
+    runs = on | F.lit(force)
+    return sources.withColumns({"runs": runs, "status": F.when(~runs, F.lit("disabled"))})
+
+
+def sitemap_pages(documents: DataFrame, official: str | None = None) -> DataFrame:
+    """(key, place, url) of the pages that sitemaps list, on the official host where one is given; ``documents`` has key and body."""
+    listed = documents.select("key", F.posexplode(parse.sitemap_urls(F.col("body"))).alias("place", "url"))
+    return listed.withColumn("url", urls.with_host(F.col("url"), official)) if official else listed
+
+
 def held_for_rendering(html: Column) -> Column:
     """Why a page can't be read: its content is made in the browser."""
     return F.when(F.contains(html, F.lit('id="__nuxt"')) & F.contains(html, F.lit("Loading...")), F.lit("CLIENT_RENDER_REQUIRED"))
@@ -53,7 +66,7 @@ def resolved_links(documents: DataFrame) -> DataFrame:
 
 def link_candidates(documents: DataFrame, settings: DataFrame, adapter: str = "adapter") -> DataFrame:
     """Candidates among links: PDFs with an event's title, and pages whose URL matches a pattern of the site, or any with an event's title where the site says so."""
-    links = resolved_links(documents).join(documents.select("key", F.col(adapter).alias("adapter")), "key").join(F.broadcast(settings), "adapter")
+    links = resolved_links(documents).join(documents.select("key", F.col(adapter).alias("adapter")), "key").join(settings, "adapter")
     marked = links.withColumns({"is_pdf": text.is_pdf_url(F.col("link_url")), "titled": text.is_title_hint(F.col("title")), "matches": F.exists("detail_patterns", lambda p: F.regexp_like(F.col("link_url"), p))})
     empty = F.array().cast("array<string>")
     pdfs = _candidate(marked.filter("is_pdf and titled"), F.col("url"), F.col("title"), F.array("link_url"), "html_pdf", F.lit(""), PDF_LINK)
@@ -63,7 +76,7 @@ def link_candidates(documents: DataFrame, settings: DataFrame, adapter: str = "a
 
 def discovered_urls(documents: DataFrame, settings: DataFrame, adapter: str = "adapter") -> DataFrame:
     """(key, urls, pdf_urls): pages worth fetching and PDFs, distinct in order."""
-    links = resolved_links(documents).join(documents.select("key", F.col(adapter).alias("adapter")), "key").join(F.broadcast(settings), "adapter")
+    links = resolved_links(documents).join(documents.select("key", F.col(adapter).alias("adapter")), "key").join(settings, "adapter")
     pdf = text.is_pdf_url(F.col("link_url"))
     wanted = ~pdf & (F.exists("detail_patterns", lambda p: F.regexp_like(F.col("link_url"), p)) | (F.col("by_title") & text.is_title_hint(F.col("title"))))
     listed = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "link_url")))), lambda x: x["link_url"]))
@@ -105,7 +118,7 @@ def feed_candidates(documents: DataFrame) -> DataFrame:
 
 def site_candidates(documents: DataFrame, settings: DataFrame) -> DataFrame:
     """Candidates of all pages by their site's settings: structure where it yields any, else links. ``documents`` has key, url, html, body, adapter and content_type."""
-    kinds = documents.join(F.broadcast(settings.select("adapter", "structure")), "adapter")
+    kinds = documents.join(settings.select("adapter", "structure"), "adapter")
     readable = kinds.filter(held_for_rendering(F.col("html")).isNull())
     feed = F.coalesce(F.contains("content_type", F.lit("rss")) | F.col("body").rlike(r"^\s*<\?xml"), F.lit(False))
     structural = heading_candidates(readable.filter("structure = 'headings'")).unionByName(table_candidates(readable.filter("structure = 'tables'"))).unionByName(feed_candidates(readable.filter(feed)))

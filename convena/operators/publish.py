@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, times, urls
-from .rows import placed
+from .rows import Cut, id_cut, placed
 
 # The fields that are published, those that must be there, and those that hold URLs.
 PUBLIC = [
@@ -77,9 +77,9 @@ def publication_order() -> list[Column]:
 
 
 def publication_places(public: DataFrame) -> DataFrame:
-    """``public`` with its place in publication order; the rank of the format and the month cut the order."""
+    """``public`` with its place in publication order; the rank of the format and the month cut the order, and again date, title and id."""
     date = times.sort_date(F.col("event_start_at"), F.col("stream_start_at"), F.col("stream_end_at"), "9999-12-31")
-    return placed(public, {"_rank": format_rank(F.col("format")), "_month": F.substring(date, 1, 7)}, publication_order())
+    return placed(public, [[Cut("_rank", format_rank(F.col("format"))), Cut("_month", F.substring(date, 1, 7))], [Cut("_date", date), Cut("_title", F.col("title")), id_cut(public)]], publication_order())
 
 
 def document(public: DataFrame, generated_at: str) -> DataFrame:

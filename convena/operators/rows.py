@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import codes, text, urls
 
@@ -117,20 +120,54 @@ def source_status() -> Column:
     return F.when(F.col("held") & none, F.lit("technical_hold")).when((F.col("failures") > 0) & ~none, F.lit("partial")).when(F.col("failures") > 0, F.lit("failed")).otherwise(F.lit("success"))
 
 
-def placed(rows: DataFrame, prefix: dict[str, Column], order: list[Column], name: str = "place", descending: bool = False) -> DataFrame:
-    """``rows`` with their place, from 1, in one order over all of them, without gathering them in one task.
+class Cut(NamedTuple):
+    """A column that cuts an order into stretches; ``down`` if they run from the greatest."""
+
+    name: str
+    value: Column
+    down: bool = False
+
+
+def id_cut(rows: DataFrame, column: str = "event_id") -> Cut:
+    """Stretches of ids: four characters of a text, 2**16 numbers."""
+    number = isinstance(rows.schema[column].dataType, NumericType)
+    return Cut("_id", F.floor(F.col(column) / 65536) if number else F.substring(column, 1, 4))
 
-    ``prefix`` cuts the order into stretches: columns, by name, that ``order`` refines (with ``descending``, both run the other way). Rows are numbered within their stretch, and a table of the stretches' sizes says how many stand before each.
+
+def placed(rows: DataFrame, levels: list[list[Cut]], order: list[Column], name: str = "place", by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with their place, from 1, in one order over all of them (or over those of equal ``by``), without gathering them in one task.
+
+    Each of ``levels`` cuts the stretches of the level above into finer ones; ``order`` refines them all. Rows are numbered within the finest stretches, and the sizes of stretches say how many rows stand before: at each level within the stretch
+    above it, so that no task sees more than the first level's stretches, the finer stretches of one, or the rows of one of the finest.
     """
-    keyed = rows.withColumns(prefix)
-    ends = [F.desc(c) if descending else F.asc(c) for c in prefix]
-    sizes = keyed.groupBy(*prefix).agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(*ends).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    within = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*prefix).orderBy(*order)))
-    joined = within.alias("w").join(before.select(*[F.col(c).alias(f"{c}_b") for c in prefix], "_before"), on=[F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in prefix])
+    cuts = [c for level in levels for c in level]
+    names = [*by, *[c.name for c in cuts]]
+    keyed = rows.withColumns({c.name: c.value for c in cuts})
+    sizes = keyed.groupBy(*names).agg(F.count("*").alias("_size"))
+    before, above = None, list(by)
+    for level in levels:
+        ends = [F.desc(c.name) if c.down else F.asc(c.name) for c in level]
+        within = [*above, *[c.name for c in level]]
+        total = sizes.groupBy(*within).agg(F.sum("_size").alias("_size"))
+        ahead = F.coalesce(F.sum("_size").over(Window.partitionBy(*above).orderBy(*ends).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        here = total.withColumn("_here", ahead).drop("_size")
+        if before is None:
+            before = here.withColumnRenamed("_here", "_before")
+        else:
+            last = before.select(*[F.col(c).alias(f"{c}_a") for c in above], "_before")
+            met = here.join(last, on=[F.col(c).eqNullSafe(F.col(f"{c}_a")) for c in above])
+            before = met.select(*within, (F.col("_before") + F.col("_here")).alias("_before"))
+        above = within
+    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    joined = numbered.alias("w").join(before.select(*[F.col(c).alias(f"{c}_b") for c in names], "_before"), on=[F.col(f"w.`{c}`").eqNullSafe(F.col(f"{c}_b")) for c in names])
     return joined.select(*[F.col(f"w.`{c}`") for c in rows.columns], (F.col("_before") + F.col("_nth")).alias(name))
 
 
+def next_row(rows: DataFrame, number: str) -> DataFrame:
+    """One row: the number behind the greatest one, 1 in an empty table."""
+    return rows.agg((F.coalesce(F.max(number), F.lit(0)) + 1).cast("long").alias("next_row"))
+
+
 def within_budget(requests: DataFrame, source: str, position: str, budget: str, used: int = 1) -> DataFrame:
     """``requests`` with ``allowed``: the first of each source that its budget leaves, robots.txt counting as ``used``."""
     nth = F.row_number().over(Window.partitionBy(source).orderBy(position))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, times
-from .rows import placed
+from .rows import Cut, id_cut, placed
 
 SEARCHED = ["title", "organizer_name", "summary", "event_type", "format", "source_prefecture", "venue_prefecture", "audience_conditions", "credits_text"]
 
@@ -26,18 +26,24 @@ def archived(rows: DataFrame, as_of: str) -> DataFrame:
     return rows.withColumns({"publication_status": F.when(gone, F.lit("アーカイブ")).otherwise(F.col("publication_status")), "archived_at": F.when(gone, F.lit(as_of)).otherwise(F.col("archived_at"))})
 
 
+def flagged(events: DataFrame, generated_at: str) -> DataFrame:
+    """``events`` with ``active``: an event without an end stays active."""
+    return events.withColumn("active", ~F.coalesce(times.instant(_end()) < F.to_timestamp(F.lit(generated_at)), F.lit(False)))
+
+
 def partitioned(events: DataFrame, generated_at: str) -> DataFrame:
-    """``events`` with ``active`` (an event without an end stays active) and ``place`` in the order of its list: active ones by date and title, past ones in reverse."""
-    active = ~F.coalesce(times.instant(_end()) < F.to_timestamp(F.lit(generated_at)), F.lit(False))
+    """``flagged`` events with ``place`` in the order of their list: active ones by date and title, past ones in reverse."""
     date = times.sort_date(F.col("event_start_at"), F.col("stream_start_at"), F.col("stream_end_at"), "9999")
-    keyed = events.withColumns({"active": active, "_d": date, "_t": F.coalesce("title", F.lit(""))})
-    month = {"_month": F.substring("_d", 1, 7)}
-    up = placed(keyed.filter("active"), month, [F.col("_d"), F.col("_t"), F.col("event_id")])
-    down = placed(keyed.filter("not active"), month, [F.desc("_d"), F.desc("_t"), F.col("event_id")], descending=True)
+    keyed = flagged(events, generated_at).withColumns({"_d": date, "_t": F.coalesce("title", F.lit(""))})
+    # Events without a date are one month, so a month is cut again by date, title and id.
+    levels = lambda down: [[Cut("_month", F.substring("_d", 1, 7), down)], [Cut("_date", F.col("_d"), down), Cut("_title", F.col("_t"), down), id_cut(events)]]
+    up = placed(keyed.filter("active"), levels(False), [F.col("_d"), F.col("_t"), F.col("event_id")])
+    down = placed(keyed.filter("not active"), levels(True), [F.desc("_d"), F.desc("_t"), F.col("event_id")])
     return up.unionByName(down).drop("_d", "_t")
 
 
 def site_counts(parted: DataFrame) -> DataFrame:
+    """Of ``flagged`` events; places aren't needed."""
     return parted.agg(F.count_if("active").alias("active_count"), F.count_if(~F.col("active")).alias("archive_count"), F.count("*").alias("detail_count"))
 
 
@@ -85,3 +91,10 @@ def browse_order(mode: str) -> list[Column]:
         return [F.collate("title", "ja"), F.col("event_id")]
     key = "application_deadline_at" if mode == "deadline" else "event_start_at"
     return [F.coalesce(text.blank_to_null(F.col(key)), F.lit("9999")), F.col("event_id")]
+
+
+def browse_places(events: DataFrame, mode: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``events`` with their place by ``browse_order``, among those of equal ``by``."""
+    order = browse_order(mode)
+    cuts = [[Cut("_first", F.substring(order[0], 1, 7))], [Cut("_key", order[0]), id_cut(events)]] if mode != "title" else [[Cut("_key", order[0]), id_cut(events)]]
+    return placed(events, cuts, order, by=by)

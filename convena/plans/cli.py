@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from contextlib import nullcontext
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -13,6 +14,7 @@ from ..sources import pages as parse
 from ..sources import pdf, tables
 from . import daily
 from . import site as static
+from .lock import HELD, RunIsActive, run_lock
 
 def build_public(spark: SparkSession, a) -> None:
     document, _ = daily.published(spark, a.input, a.now, fail_fast=True)
@@ -75,9 +77,10 @@ def export_sheet_template(spark: SparkSession, a) -> None:
 
 def daily_run(spark: SparkSession, a) -> None:
     """Status and totals of a run from its logs (sources: source_id, status, warnings, fatal, pos; candidates: source_id)."""
-    summary = daily.daily_summary(spark.read.json(a.input, schema="source_id string, status string, warnings array<string>, fatal string, pos int"), spark.read.json(a.events), "daily_" + a.now.replace("-", "").replace(":", "")[:15], a.now)
-    summary.write.mode("overwrite").json(a.output)
-    print(daily.summary_markdown(summary).first()["markdown"])
+    with run_lock(a.lock) if a.lock else nullcontext():
+        summary = daily.daily_summary(spark.read.json(a.input, schema="source_id string, status string, warnings array<string>, fatal string, pos int"), spark.read.json(a.events), "daily_" + a.now.replace("-", "").replace(":", "")[:15], a.now)
+        summary.write.mode("overwrite").json(a.output)
+        print(daily.summary_markdown(summary).first()["markdown"])
 
 JOBS = {
     "plan-sheet": plan_sheet, "init-sheet": init_sheet, "build-public": build_public, "export-sheet-template": export_sheet_template, "collect-source": collect_pages, "extract-pdf": extract_pdf, "build-site": build_site, "daily-run": daily_run,
@@ -91,8 +94,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("--events", default="", help="incoming rows, where a job has two inputs")
     parser.add_argument("--output", default="", help="what is written")
     parser.add_argument("--now", default="", help="ISO time with an offset that the job takes as now")
+    parser.add_argument("--lock", default="", help="file that a daily run holds while it runs")
     a = parser.parse_args(args)
-    JOBS[a.job](spark or SparkSession.builder.appName("convena").getOrCreate(), a)
+    try:
+        JOBS[a.job](spark or SparkSession.builder.appName("convena").getOrCreate(), a)
+    except RunIsActive as held:
+        print(f"another run holds {held}")
+        raise SystemExit(HELD) from held
 
 if __name__ == "__main__":
     main()

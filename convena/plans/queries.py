@@ -110,8 +110,10 @@ def dedupe_keep_fullest(spark, sf_dir):
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS types FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id""")
 def ordered_distinct_types(spark, sf_dir):
+    # A user's types, each where it first stands: bounded, however many events a user has.
+    first = t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(text.ordered_distinct(listed), ",").alias("types"))
+    return first.groupBy("user_id").agg(F.array_join(text.ordered_distinct(listed), ",").alias("types"))
 
 
 @query("""SELECT s AS o_orderstatus, (SELECT count(*) FROM orders WHERE o_orderstatus = s) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(s)""")
@@ -183,43 +185,6 @@ NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
 JOIN_FORM = rf"regexp_replace(split_part({NO_FRAGMENT}, '?', 1), '/+$', '') || CASE WHEN regexp_matches(regexp_replace(split_part({NO_FRAGMENT}, '?', 1), '/+$', ''), '^https?://[^/]*$') THEN '/' ELSE '' END || CASE WHEN contains({NO_FRAGMENT}, '?') THEN '?' || split_part({NO_FRAGMENT}, '?', 2) ELSE '' END"
 
 
-@query(f"""SELECT page_id, {JOIN_FORM} AS join_form, {JOIN_FORM} AS duplicate_form, {NO_FRAGMENT} AS source_form, url AS rule_form, {NO_FRAGMENT} AS base, ends_with(lower(split_part({NO_FRAGMENT}, '?', 1)), '.pdf') AS is_pdf, url LIKE 'http%' AS is_public FROM pages WHERE url IS NOT NULL""")
-def url_normalise(spark, sf_dir):
-    u = F.col("url")
-    return t(spark, sf_dir, "pages").filter("url is not null").select(
-        "page_id", urls.join_form(u).alias("join_form"), urls.duplicate_form(u).alias("duplicate_form"), urls.source_form(u).alias("source_form"), urls.rule_form(u).alias("rule_form"), urls.without_fragment(u).alias("base"), text.is_pdf_url(u).alias("is_pdf"), urls.is_public(u).alias("is_public")
-    )
-
-
-@query(f"""WITH n AS (SELECT page_id, {JOIN_FORM} AS k FROM pages), l AS (SELECT k, max(page_id) AS last_page FROM n WHERE page_id % 2 = 0 GROUP BY k) SELECT page_id, last_page FROM n JOIN l USING (k)""")
-def url_join(spark, sf_dir):
-    p = t(spark, sf_dir, "pages")
-    known = p.filter("page_id % 2 = 0").select(F.col("page_id").alias("last_page"), F.col("page_id").alias("row_number"), F.col("url").alias("primary_official_url"))
-    return rows.match_by_url(p.select("page_id", F.col("url").alias("detail_url")), known).select("page_id", "last_page")
-
-
-@query(r"""SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN NOT (regexp_extract(url, '://([^/?#]*)', 1) LIKE '%.example.com') THEN 'HOST_NOT_ALLOWED' WHEN NOT starts_with(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/en') THEN 'PATH_NOT_ALLOWED' END AS refusal FROM pages""")
-def url_refusals(spark, sf_dir):
-    p = t(spark, sf_dir, "pages")
-    u = F.col("url")
-    allowed = F.when(urls.host(u).endswith(".example.com"), F.array(urls.host(u))).otherwise(F.array().cast("array<string>"))
-    return p.select("page_id", urls.host(u).alias("host"), urls.refusal(u, allowed, F.array(F.lit("/en"))).alias("refusal"))
-
-
-def text_chunks(spark, sf_dir):
-    paged = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), text.page_lines(F.col("text")).alias("text"))
-    return chunks.chunks(paged, 500).drop("text")
-
-
-@query(r"""SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 300) AS excerpt FROM documents""")
-def excerpts(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 300).alias("excerpt"))
-
-
-NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
-JOIN_FORM = rf"regexp_replace(split_part({NO_FRAGMENT}, '?', 1), '/+$', '') || CASE WHEN regexp_matches(regexp_replace(split_part({NO_FRAGMENT}, '?', 1), '/+$', ''), '^https?://[^/]*$') THEN '/' ELSE '' END || CASE WHEN contains({NO_FRAGMENT}, '?') THEN '?' || split_part({NO_FRAGMENT}, '?', 2) ELSE '' END"
-
-
 @query(f"""SELECT page_id, {JOIN_FORM} AS join_form, {JOIN_FORM} AS duplicate_form, {NO_FRAGMENT} AS source_form, url AS rule_form, {NO_FRAGMENT} AS base, ends_with(lower(split_part({NO_FRAGMENT}, '?', 1)), '.pdf') AS is_pdf, url LIKE 'http%' AS is_public FROM pages WHERE url IS NOT NULL""")
 def url_normalise(spark, sf_dir):
     u = F.col("url")
@@ -268,8 +233,8 @@ GRAMS = f"""SELECT item_id, unnest([k[i:i+1] for i in range(1, length(k))] || [k
 
 @query(f"""SELECT item_id, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS hashes FROM (SELECT DISTINCT item_id, sha256(g) AS h FROM ({GRAMS})) GROUP BY 1""")
 def ngram_hashes(spark, sf_dir):
-    hashes = codes.gram_hashes(text.search_key(F.col("text"), compatible=False))
-    return t(spark, sf_dir, "benchmark").select("item_id", hashes.alias("h")).select("item_id", F.size("h").cast("long").alias("n"), F.sha2(F.array_join("h", ","), 256).alias("hashes")).filter("n > 0")
+    keyed = t(spark, sf_dir, "benchmark").select("item_id", text.search_key(F.col("text")).alias("k"))
+    return keyed.select("item_id", codes.gram_hashes(F.col("k")).alias("h")).select("item_id", F.size("h").cast("long").alias("n"), F.sha2(F.array_join("h", ","), 256).alias("hashes")).filter("n > 0")
 
 
 SOUGHT = "tionthe"
@@ -277,13 +242,13 @@ SOUGHT = "tionthe"
 
 @query(f"""SELECT item_id, contains(k, '{SOUGHT}') AS plain FROM (SELECT item_id, {KEY} AS k FROM benchmark) JOIN (SELECT item_id FROM (SELECT DISTINCT item_id, g FROM ({GRAMS})) WHERE list_contains(['ti', 'io', 'on', 'nt', 'th', 'he', 'tio', 'ion', 'ont', 'nth', 'the'], g) GROUP BY 1 HAVING count(*) = 11) USING (item_id)""")
 def hash_containment_search(spark, sf_dir):
-    b = t(spark, sf_dir, "benchmark").withColumn("k", text.search_key(F.col("text"), compatible=False))
+    b = t(spark, sf_dir, "benchmark").withColumn("k", text.search_key(F.col("text")))
     return b.filter(site.hash_match(codes.gram_hashes(F.col("k")), SOUGHT)).select("item_id", site.plain_match(F.col("k"), SOUGHT).alias("plain"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({KEY}, 'ofthe')")
 def plain_search(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", text.search_key(F.col("text"), compatible=False).alias("k"))
+    d = t(spark, sf_dir, "documents").select("doc_id", text.search_key(F.col("text")).alias("k"))
     return d.filter(site.plain_match(F.col("k"), "ofthe")).select("doc_id")
 
 
@@ -332,7 +297,7 @@ def partition_active_archived(spark, sf_dir):
 
 @query(f"SELECT CAST(count_if(active) AS BIGINT) AS active_count, CAST(count_if(NOT active) AS BIGINT) AS archive_count, count(*) AS detail_count FROM ({PLACED})")
 def site_counts(spark, sf_dir):
-    return site.site_counts(site.partitioned(order_events(spark, sf_dir), NOW))
+    return site.site_counts(site.flagged(order_events(spark, sf_dir), NOW))
 
 
 @query(f"SELECT event_id, place FROM ({PLACED}) WHERE active AND format IN ('Web', 'オンデマンド', 'ハイブリッド') ORDER BY place LIMIT 6")
@@ -348,8 +313,9 @@ def custom_rank_sort(spark, sf_dir):
 
 @query(f"""SELECT event_id, row_number() OVER (PARTITION BY format ORDER BY coalesce(dl, '9999'), event_id) AS by_deadline, row_number() OVER (PARTITION BY format ORDER BY coalesce(es, '9999'), event_id) AS by_date FROM ({ORDER_EVENTS})""")
 def browse_orders(spark, sf_dir):
-    place = lambda mode: F.row_number().over(Window.partitionBy("format").orderBy(*site.browse_order(mode))).cast("long")
-    return order_events(spark, sf_dir).select("event_id", place("deadline").alias("by_deadline"), place("date").alias("by_date"))
+    e = order_events(spark, sf_dir)
+    by_deadline, by_date = (site.browse_places(e, mode, by=("format",)).select("event_id", F.col("place").cast("long").alias(f"by_{mode}")) for mode in ("deadline", "date"))
+    return by_deadline.join(by_date, "event_id")
 
 
 @query(f"""SELECT event_id FROM ({ORDER_EVENTS}) WHERE contains(lower(title), 'high') AND o_orderstatus = 'O' AND format = 'Web' AND o_totalprice > 250000 AND starts_with({DATE.format('')}, '19') AND dl >= '1997-01-01T00:00:00+00:00'""")
@@ -555,14 +521,15 @@ def set_operations(spark, sf_dir):
 @query("SELECT CAST(coalesce(max(l_linenumber), 0) + 1 AS BIGINT) AS next_row, strftime(least(min(l_shipdate), TIMESTAMP '2030-01-01'), '%Y-%m-%d') AS earliest FROM lineitem")
 def next_free_row(spark, sf_dir):
     l = t(spark, sf_dir, "lineitem")
-    return l.agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + 1).cast("long").alias("next_row"), F.date_format(F.least(F.min("l_shipdate"), F.lit("2030-01-01").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")), "yyyy-MM-dd").alias("earliest"))
+    earliest = l.agg(F.date_format(F.least(F.min("l_shipdate"), F.lit("2030-01-01").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")), "yyyy-MM-dd").alias("earliest"))
+    return rows.next_row(l, "l_linenumber").withColumn("one", F.lit(1)).join(earliest.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(lower(t), 'web', ' '), 'オンライン', ' '), '[「」『』【】()\[\]（）:：・,，。~〜～／/]', ' ', 'g'), '\s+', '', 'g') AS title_key, regexp_replace(replace(lower(t), 'npo法人', ''), '[\s・,，。]', '', 'g') AS organizer_key
 FROM (SELECT doc_id, 'NPO法人 Web ' || coalesce(text, '') AS t FROM documents)""")
 def text_keys(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("NPO法人 Web "), F.coalesce("text", F.lit(""))).alias("t"))
-    return d.select("doc_id", text.title_key(F.col("t"), compatible=False).alias("title_key"), text.organizer_key(F.col("t"), compatible=False).alias("organizer_key"))
+    return d.select("doc_id", text.title_key(F.col("t")).alias("title_key"), text.organizer_key(F.col("t")).alias("organizer_key"))
 
 
 @query(r"""SELECT doc_id, len(l) AS n, coalesce(l[1], '') AS first_value FROM (SELECT doc_id, [trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''] AS l FROM documents)""")
@@ -592,3 +559,6 @@ def validated_fields(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("v", validate.validated(F.map_from_entries(F.array(*items)), F.array(F.lit("LOW"), F.lit("LOW")), F.array().cast("array<string>")))
     field = lambda name: F.col("v.fields")[name]["value"]
     return e.select("event_id", field("fee_text").alias("fee_text"), field("format").alias("format"), field("event_start").alias("event_start"), field("genres").alias("genres"), F.round(F.col("v.fields")["title"]["confidence"], 6).alias("title_confidence"), F.array_join("v.review_reasons", ",").alias("reasons"))
+
+
+from . import record_queries  # noqa: E402, F401  (registers more queries here)

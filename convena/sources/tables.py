@@ -18,7 +18,7 @@ CANDIDATE = "source_id string, source_url string, detail_url string, title_hint
 FETCH_STATE = "url string, etag string, last_modified string, content_hash string, fetched_at string"
 SOURCE = "source_id string, organization_name string, prefecture string, base_url string, discovery_urls string, allowed_path_prefixes string, adapter_type string, text_encoding string, enabled boolean, auto_publish_policy string, request_interval_seconds double, max_requests_per_run int, user_agent string, robots_url string, notes string"
 DEFAULT_AGENT = "event-indexing/0.1 (one scheduled run a day)"
-#: Columns of the events table beyond the published ones.
+# Columns of the events table, in their order.
 EVENT_COLUMNS = [
     "event_id", "canonical_event_id", "publication_status", "review_status", "review_label", "review_reason_codes", "review_reason_display", "duplicate_status", "data_quality_score", "auto_publish_eligible", "title", "summary", "event_type",
     "genres", "detailed_tags", "organizer_name", "organizer_type", "source_prefecture", "venue_prefecture", "venue_name", "venue_address", "format", "has_on_demand", "audience_conditions", "capacity_text", "credits_text", "event_start_at",
@@ -31,7 +31,12 @@ FLAGS = ["auto_publish_eligible", "has_on_demand", "fee_verified", "pdf_keyword_
 
 def event_records(spark: SparkSession, path: str) -> DataFrame:
     """Event records of JSON documents, each an object with ``events`` or a bare array; ``pos`` is the place in the document."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    return records_of(spark.read.text(path, wholetext=True))
+
+
+def records_of(documents: DataFrame) -> DataFrame:
+    """Event records of JSON texts (column ``value``)."""
+    raw = documents.select(F.parse_json("value").alias("v"))
     listed = raw.select(F.coalesce(F.try_variant_get("v", "$.events", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")).alias("e"))
     rows = listed.select(F.posexplode("e").alias("pos", "r"))
     return rows.select("pos", F.variant_get("r", "$", EVENT_RECORD).alias("r")).select("r.*", "pos")
@@ -157,7 +162,7 @@ def setting_ranges(rows: DataFrame) -> DataFrame:
 def invalid_codes(rows: DataFrame, column: str, list_name: str, table: DataFrame) -> DataFrame:
     """Rows whose code is not in its list; empty codes pass."""
     known = table.filter(F.col("list") == list_name).select(F.col("code").alias(column))
-    return rows.filter(F.coalesce(F.col(column), F.lit("")) != "").join(F.broadcast(known), column, "left_anti")
+    return rows.filter(F.coalesce(F.col(column), F.lit("")) != "").join(known, column, "left_anti")
 
 
 def published_events(spark: SparkSession, path: str) -> DataFrame:

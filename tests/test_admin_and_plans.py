@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from convena.operators import admin
+from convena.operators import admin, rows
 from convena.plans import cli, lock, site
 from convena.sources import pdf, tables
+from convena.sources.tables import EVENT_COLUMNS
 
 NOW = "2026-07-01T00:00:00+00:00"
 
@@ -107,3 +108,35 @@ def test_state_and_cache(spark, tmp_path):
     assert [(r["cache_key"], r["fields"]["title"]["value"]) for r in tables.extraction_cache(spark, str(tmp_path / "cache.json")).collect()] == [("k", '"x"')]
     (tmp_path / "found.json").write_text('{"source_id":"s","pdf_urls":["p"]}\n')
     assert tables.candidates(spark, str(tmp_path / "found.json")).first()["pdf_urls"] == ["p"]
+
+
+def test_admin_lists():
+    assert len(admin.SHOWN) == len(set(admin.SHOWN)) == 40 and len(admin.EDITABLE) == len(set(admin.EDITABLE)) == 35
+    assert set(admin.EDITABLE) <= set(admin.SHOWN) <= set(EVENT_COLUMNS)
+    assert {"timezone", "has_on_demand", "canonical_event_id"}.isdisjoint(admin.SHOWN) and {"review_reason_display", "last_verified_at"} <= set(admin.EDITABLE)
+
+
+def test_daily_run_holds_its_lock(spark, tmp_path):
+    (tmp_path / "sources.json").write_text('{"source_id":"a","status":"success","warnings":[],"pos":1}\n')
+    (tmp_path / "found.json").write_text('{"source_id":"a"}\n')
+    args = ["daily-run", "--input", str(tmp_path / "sources.json"), "--events", str(tmp_path / "found.json"), "--output", str(tmp_path / "out"), "--now", "2000-01-01T00:00:00+00:00", "--lock", str(tmp_path / "run.lock")]
+    cli.main(args, spark)
+    assert not (tmp_path / "run.lock").exists()
+    with lock.run_lock(tmp_path / "run.lock"), pytest.raises(SystemExit) as held:
+        cli.main(args, spark)
+    assert held.value.code == lock.HELD
+
+
+def test_places_in_one_order(spark):
+    import random
+
+    rng = random.Random(5)
+    rows_ = [(f"{rng.randrange(10**5):05d}{i}", rng.choice(["a", "b", None]), rng.choice(["2000-01-01", "2000-01-02", "2000-02-01", "9999"]), rng.choice("xy")) for i in range(500)]
+    df = spark.createDataFrame(rows_, "event_id string, title string, date string, kind string")
+    cuts = [[rows.Cut("_m", F.substring("date", 1, 7), True)], [rows.Cut("_d", F.col("date"), True), rows.Cut("_t", F.col("title")), rows.id_cut(df)]]
+    order = [F.desc("date"), F.col("title"), F.col("event_id")]
+    in_order = lambda some: sorted(sorted(some, key=lambda r: (r[1] or "", r[0])), key=lambda r: r[2], reverse=True)
+    got = {r["event_id"]: r["place"] for r in rows.placed(df, cuts, order).collect()}
+    assert got == {r[0]: i for i, r in enumerate(in_order(rows_), 1)}
+    got = {r["event_id"]: r["place"] for r in rows.placed(df, cuts, order, by=("kind",)).collect()}
+    assert got == {r[0]: i for k in "xy" for i, r in enumerate(in_order(r for r in rows_ if r[3] == k), 1)}
