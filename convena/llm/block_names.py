@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, dealt_join, materialise, stored, with_row_id, wrapped
+from .common import BROADCAST_KEYS, SMALL_KEYS, bounded, dealt_join, materialise, stored, with_row_id, wrapped
 
 #: Bytes in a block: most documents have one block, the longest some dozens, and a level of pairing halves that.
 BLOCK_BYTES = 2048
@@ -37,12 +37,12 @@ def _identities(rows: DataFrame, block_bytes: int) -> DataFrame:
     """(_rid, _level, _name) of the documents all of whose blocks recur; equal (_level, _name) if and only if equal text."""
     hashed = _blocks(rows, block_bytes).select("_rid", "_n", F.xxhash64("_block").alias("_h"))
     recurring = materialise(hashed.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h"), "op3-recurring")
-    inside = dealt_join(hashed, recurring, ["_h"], "_rid").groupBy("_rid", "_n").agg(F.count("*").alias("_c")).filter("_c = _n").select("_rid")
+    inside = dealt_join(hashed, recurring, ["_h"], "_rid", BROADCAST_KEYS).groupBy("_rid", "_n").agg(F.count("*").alias("_c")).filter("_c = _n").select("_rid")
     inside = materialise(inside, "op3-rows")
     blocks = _blocks(rows.join(bounded(inside), "_rid", "left_semi"), block_bytes)
     names = _named(blocks.groupBy("_block").agg(F.count("*").alias("_c")).filter("_c > 1").select("_block"), ["_block"], "op3-blocks")
     level, done = 0, None
-    now = materialise(dealt_join(blocks, names, ["_block"], "_rid").select("_rid", "_n", "_i", "_name"), "op3-level")
+    now = materialise(blocks.join(bounded(names, SMALL_KEYS), "_block").select("_rid", "_n", "_i", "_name"), "op3-level")
     while True:
         ended = now.filter("_n = 1").select("_rid", F.lit(level).alias("_level"), "_name")
         done = ended if done is None else done.unionByName(ended)
@@ -57,7 +57,7 @@ def _identities(rows: DataFrame, block_bytes: int) -> DataFrame:
         pairs = pairs.withColumn("_b", F.when(tail, F.lit(-1)).otherwise(F.col("_b"))).filter("_a is not null and _b is not null")
         pairs = materialise(pairs.select("_rid", F.ceil(F.col("_n") / 2).cast("int").alias("_n"), F.col("_j").alias("_i"), "_a", "_b"), "op3-pairs")
         names = _named(pairs.groupBy("_a", "_b").agg(F.count("*").alias("_c")).filter("_c > 1").select("_a", "_b"), ["_a", "_b"], "op3-names")
-        now = materialise(dealt_join(pairs, names, ["_a", "_b"], "_rid").select("_rid", "_n", "_i", "_name"), "op3-level")
+        now = materialise(dealt_join(pairs, names, ["_a", "_b"], "_rid", BROADCAST_KEYS >> 2).select("_rid", "_n", "_i", "_name"), "op3-level")
         level += 1
 
 
@@ -71,7 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_row_id(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_rid")
     same = materialise(_identities(rows, block_bytes).join(rows.select("_rid", "_id"), "_rid"), "op3-same")
     groups = same.groupBy("_level", "_name").agg(F.max(F.struct("_id", "_rid")).alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
-    found = dealt_join(same, materialise(groups, "op3-groups"), ["_level", "_name"], "_rid").select("_rid", "_keep", "_size")
+    found = dealt_join(same, materialise(groups, "op3-groups"), ["_level", "_name"], "_rid", BROADCAST_KEYS >> 2).select("_rid", "_keep", "_size")
     out = rows.select("_rid", "_id", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")).join(found, "_rid", "left")
     own = F.col("_keep").isNull()
     return out.select(

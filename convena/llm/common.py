@@ -115,9 +115,9 @@ def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: list[str], salt: str) -> DataFrame:
-    """``left`` joined to ``right`` (materialised, unique by ``on``) where one key may have much of ``left``: by broadcast if ``right`` is small, else each key's rows are dealt out by ``salt`` over SALTS tasks, to each of which goes its row of ``right``."""
-    small = bounded(right, SMALL_KEYS)
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], salt: str, most: int = SMALL_KEYS) -> DataFrame:
+    """``left`` joined to ``right`` (materialised, unique by ``on``) where one key may have much of ``left``: by broadcast if ``right`` has ``most`` rows at most, else each key's rows are dealt out by ``salt`` over SALTS tasks, to each of which goes its row of ``right``."""
+    small = bounded(right, most)
     if small is not right:
         return left.join(small, on)
     dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
