@@ -28,3 +28,15 @@ def test_query(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_query_runs(spark, name):
     assert queries.queries()[name](spark, DATA).count() > 0
+
+
+def test_neighbours_against_exact_sql(spark):
+    """Recall of op9 over the whole table, and its scores, against all distances."""
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE v AS SELECT vec_id, embedding::DOUBLE[] AS e FROM '{DATA}/embeddings.parquet'")
+    want = con.sql("SELECT q.vec_id, c.vec_id, list_distance(q.e, c.e) AS d FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, c.vec_id) <= 10").fetchall()
+    near = {(q, c): d for q, c, d in want}
+    got = queries.op9_nearest(spark, DATA).collect()
+    hits = [r for r in got if (r["query_id"], r["vec_id"]) in near]
+    assert len(got) == len(want) and len(hits) >= 0.95 * len(want)
+    assert all(r["score"] == pytest.approx(near[r["query_id"], r["vec_id"]], rel=1e-9, abs=1e-9) for r in hits)
