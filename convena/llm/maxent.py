@@ -46,7 +46,7 @@ TEXT_BYTES = 1 << 20
 #: How far back the words are that a halving's features look at.
 BACK = (1, 2)
 #: Rows of gradients that are added up side by side.
-SHORT = 8
+SHORT = 16
 #: The end of a text as a token; no word hashes to it but by chance of 2**-64.
 END = np.uint64(0x5851F42D4C957F2D)
 LN10 = float(np.log(10))
