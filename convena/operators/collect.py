@@ -128,7 +128,7 @@ def site_candidates(documents: DataFrame, settings: DataFrame) -> DataFrame:
 
 def enrich(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Candidates with what their detail page says, where that page is among ``documents`` (by URL without fragment): title, text, PDFs, fields found by rules, and a confidence of ENRICHED at least."""
-    shown = parse.page_text(documents, "key").select("key", F.col("title").alias("page_title"), F.col("body").alias("page_body"))
+    shown = parse.page_text(documents.filter("html <> ''"), "key").select("key", F.col("title").alias("page_title"), F.col("body").alias("page_body"))
     links = resolved_links(documents).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "link_url"))), lambda x: x["link_url"]).alias("page_links"))
     pages = documents.select("key", urls.without_fragment(F.col("url")).alias("base")).join(shown, "key").join(links, "key", "left").drop("key")
     pages = pages.groupBy("base").agg(F.any_value(F.struct("page_title", "page_body", "page_links")).alias("p"))

@@ -62,8 +62,10 @@ def links(html: str) -> list[dict]:
     return out
 
 
-def text(html: str) -> dict:
-    """Title and body without what isn't shown; the title is the first three texts of h1 and h2, else the page's own."""
+def text(html: str, references: tuple[str, ...] | None = None) -> dict:
+    """Title and body without what isn't shown; the title is the first three texts of h1 and h2, else the page's own. Given ``references``, only character references of these names that a semicolon closes are resolved."""
+    if references:
+        html = re.sub(rf"&(?!(?:{'|'.join(references)});)", "&amp;", html)
     depth = dict.fromkeys(("hidden", "title", "heading"), 0)
     zone = lambda tag: "hidden" if tag in HIDDEN else "title" if tag == "title" else "heading" if tag in ("h1", "h2") else None
     body, titles, headings = [], [], []
@@ -143,7 +145,7 @@ TABLE = "n int, cells array<struct<kind:string,text:string>>, text string, links
 def _each(pages: DataFrame, key: str, html: str, read: Callable[[str], list[dict]], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"_key": k, "place": i, **row} for k, h in zip(b["_key"], b["_html"], strict=True) for i, row in enumerate(read(h) if h else [])]
+            rows = [{"_key": k, "place": i, **row} for k, h in zip(b["_key"], b["_html"], strict=True) for i, row in enumerate([] if h is None else read(h))]
             names = ["_key", "place", *[c.split()[0] for c in schema.split(", ")]]
             yield pd.DataFrame(rows, columns=names)
 
@@ -157,9 +159,9 @@ def page_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return _each(pages, key, html, links, LINK)
 
 
-def page_text(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, place, title, body); a page without HTML has no row."""
-    return _each(pages, key, html, lambda h: [text(h)], TEXT)
+def page_text(pages: DataFrame, key: str, html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, place, title, body), with ``references`` as in ``text``; a page whose HTML is null has no row."""
+    return _each(pages, key, html, lambda h: [text(h, references)], TEXT)
 
 
 @F.pandas_udf(StringType())

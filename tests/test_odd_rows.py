@@ -22,3 +22,9 @@ def test_source_status(spark, tmp_path):
     customer = "SELECT * FROM (VALUES (1::BIGINT, 5.0::DOUBLE), (1, 5.0), (1, -1.0), (2, -1.0), (2, -1.0), (NULL, 1.0), (NULL, 1.0), (3, NULL), (4, 'nan'), (5, -1.0), (6, -1.0)) v(c_custkey, c_acctbal)"
     orders = "SELECT * FROM (VALUES (1::BIGINT, 'F'), (1, 'P'), (3, 'P'), (NULL, 'P'), (4, NULL), (5, NULL), (6, 'O'), (6, NULL)) v(o_custkey, o_orderstatus)"
     assert len(same(spark, tmp_path, "source_status", customer=customer, orders=orders)) == 8
+
+
+def test_page_text(spark, tmp_path):
+    html = ["<h1>A &amp; B &amp</h1><p>x &amp;lt; &nbsp; &quo &copy; &#39;&gt;&am</p>", "<h1>&amp;&amp;amp;&</h1>", ""]
+    pages = f"SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {chr(39)}{h.replace(chr(39), chr(39) * 2)}{chr(39)})' for i, h in enumerate(html))}, (9, NULL)) v(page_id, html)"
+    assert len(same(spark, tmp_path, "page_text", pages=pages)) == 3
