@@ -38,6 +38,8 @@ PIVOTS, LEVELS = 8, 8
 FEW, MORE_PIVOTS = 32, 3
 #: Recurring regions that may be sent to every task.
 BROADCAST_REGIONS = 1 << 21
+#: Where more recur, a Bloom filter of them is sent instead: bits for each region, most bits of it (as a power of 2), bits that a region sets, and parts (as a power of 2) that it is made in.
+FILTER_EACH, FILTER_MOST, FILTER_HASHES, FILTER_PARTS = 12, 29, 3, 6
 CHUNK = 1 << 19
 #: A-Z in lower case; white space is 0x20 and 0x09 to 0x0D.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -197,8 +199,38 @@ def _describe(words: int):
     return run
 
 
-def _keys(words: int, threshold: Threshold, named: bool):
-    """Names of all regions of all sets; if ``named``, with the ring, the least number of shared regions and the first half of the set's fingerprint."""
+def _places(names: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of a filter of 2**``bits`` that each region sets. Names are hashes: the first bits say the part, which all of a region's bits lie in."""
+    h = names.view(np.uint64)
+    part = (h >> np.uint64(64 - FILTER_PARTS)) << np.uint64(bits - FILTER_PARTS)
+    for _ in range(FILTER_HASHES):
+        h = _mixed(h + np.uint64(FACTOR))
+        yield (part | h >> np.uint64(64 - bits + FILTER_PARTS)).astype(np.int64)
+
+
+def region_filter(recurring: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the regions in ``recurring`` (materialised, ``count`` rows), as packed bits: 64 MB at most, made part by part in the tasks."""
+    bits = min(max((FILTER_EACH * count - 1).bit_length(), FILTER_PARTS + 3), FILTER_MOST)
+    size = 1 << bits - FILTER_PARTS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            names = b.column("_key").to_numpy()
+            for places in _places(names, bits):
+                for part in np.unique(places // size).tolist():
+                    made.setdefault(part, np.zeros(size, bool))[places[places // size == part] % size] = True
+        for part, own in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    found = np.zeros((1 << FILTER_PARTS, size // 8), np.uint8)
+    for r in recurring.repartition(F.shiftrightunsigned("_key", 64 - FILTER_PARTS)).mapInArrow(run, "part long, bits binary").toLocalIterator():
+        found[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return found.ravel()
+
+
+def _keys(words: int, threshold: Threshold, named: bool, likely: np.ndarray | None = None):
+    """Names of all regions of all sets, or of those in the filter ``likely``; if ``named``, with the ring, the least number of shared regions and the first half of the set's fingerprint."""
     rings = _rings(threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +239,11 @@ def _keys(words: int, threshold: Threshold, named: bool):
             if named:
                 counts = [len(x) for *_, x in held]
                 columns += [pa.array(np.repeat(np.array([h[k] for h in held], dtype=np.int64), counts)) for k in range(3)]
-            return pa.RecordBatch.from_arrays(columns, names=["_key", "_short", "_ring", "_need"][: len(columns)])
+            found = pa.RecordBatch.from_arrays(columns, names=["_key", "_short", "_ring", "_need"][: len(columns)])
+            if likely is not None:
+                names = found.column("_key").to_numpy()
+                found = found.filter(pa.array(np.logical_and.reduce([likely[x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in _places(names, len(likely).bit_length() + 2)])))
+            return found
 
         held, size = [], 0
         for b in batches:
@@ -472,8 +508,11 @@ def near_groups(docs: DataFrame, words: int, threshold: Threshold, id_col: str =
     single = rows.join(bounded(copies), "_rid", "left_anti").select("_text")
     recurring = single.mapInArrow(_keys(words, threshold, False), "_key long").groupBy("_key").agg(F.count("*").alias("_c")).filter("_c > 1").select("_key")
     recurring = materialise(recurring, "op7-regions")
-    named = single.mapInArrow(_keys(words, threshold, True), "_key long, _short long, _ring long, _need long")
-    inside = materialise(named.join(bounded(recurring, BROADCAST_REGIONS), "_key", "left_semi"), "op7-inside")
+    # Regions of one set only are most of all. Where those that recur are too many to be sent to all tasks, a filter keeps nearly all others out of the shuffle; the join decides.
+    few = bounded(recurring, BROADCAST_REGIONS)
+    likely = region_filter(recurring, recurring.count()) if few is recurring else None
+    named = single.mapInArrow(_keys(words, threshold, True, likely), "_key long, _short long, _ring long, _need long")
+    inside = materialise(named.join(few, "_key", "left_semi"), "op7-inside")
     likely = inside.groupBy("_short", "_ring").agg(F.count("*").alias("_c"), F.max("_need").alias("_need")).filter("_c >= _need").select("_short", "_ring")
     inside = materialise(inside.join(likely, ["_short", "_ring"], "left_semi").select("_key", "_short"), "op7-likely")
     stars = inside.join(inside.groupBy("_key").agg(F.min("_short").alias("_first")), "_key").select(F.col("_first").alias("_a"), F.col("_short").alias("_b"))

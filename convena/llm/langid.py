@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ EXHAUSTIVE = 7
 SMOOTHING = 0.5
 #: A difference of distances under which a decision is flagged as ambiguous.
 AMBIGUOUS = 0.02
-CHUNK = 1 << 20  # bytes of text that numpy works on at a time
+CHUNK = 1 << 18  # bytes of text that numpy works on at a time
 PAD = 3
 UNDETERMINED = "und"
 #: Letters in lower case, any other ASCII a space; bytes of other characters as they are.
@@ -233,8 +234,8 @@ def has_letter(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``; earlier columns of these names, in any case, give way.
+def identify(docs: DataFrame, model: Model | None, text_col: str | tuple[str, str] = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``; earlier columns of these names, in any case, give way. ``text_col`` is a column, or a struct column and its field, so that no text travels twice.
 
     A null text and one without a letter are ``und`` with score 0, and so is every text if the model is None. Only the text is looked at.
     Rows and their order within a partition stay as they are; an empty table gives an empty result.
@@ -244,12 +245,17 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     if model is None:
         found = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous")]
         return docs.select(*[F.col(f"`{c}`") for c in kept], *found)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_own"), F.col(f"`{text_col}`").alias("_text"), has_letter(f"`{text_col}`").alias("_letter"))
+    path = (text_col,) if isinstance(text_col, str) else text_col
+    quoted = ".".join(f"`{x}`" for x in path)
+    # A text that the row itself holds is not sent to Python a second time.
+    inside = path[0] in kept
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_own"), *([] if inside else [F.col(quoted).alias("_text")]), has_letter(quoted).alias("_letter"))
     named = np.array(model.languages, dtype=object)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score, unsure = decode(model, _margins(batch.column("_text"), model.weights))
+            texts = pc.struct_field(batch.column("_own"), list(path)) if inside else batch.column("_text")
+            best, score, unsure = decode(model, _margins(texts, model.weights))
             letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_own"), pa.array(np.where(letter, named[best], UNDETERMINED), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(unsure & letter)], names=["_own", "lang_pred", "score", "ambiguous"]
