@@ -111,7 +111,7 @@ def table_candidates(documents: DataFrame, label: str = "名称") -> DataFrame:
 
 def feed_candidates(documents: DataFrame) -> DataFrame:
     """A candidate for each item of a feed that is about an event."""
-    rows = documents.select("key", "url").join(parse.feed_items(documents, "key"), "key").filter(text.is_event_like(F.concat_ws(" ", "title", "description")))
+    rows = parse.feed_items(documents, "key", also=("url",)).filter(text.is_event_like(F.concat_ws(" ", "title", "description")))
     rows = rows.withColumns({"pos": F.col("place").cast("long"), "link": parse.joined_url("url", "link")})
     return _candidate(rows, F.col("link"), F.col("title"), F.array().cast("array<string>"), "rss", F.substring("description", 1, FEED_TEXT), FEED, F.col("published_at"))
 

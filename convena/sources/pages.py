@@ -18,6 +18,8 @@ from pyspark.sql.types import StringType
 from ..functions.text import normalize_space
 
 HIDDEN = {"script", "style", "noscript", "svg"}
+#: Attributes of an element whose values hold no markup.
+ATTRIBUTES = r'(?:\s+[A-Za-z][\w.:-]*="[^"<>&]*")*\s*'
 #: Aliases of an encoding that stand for its larger superset.
 SUPERSETS = {"shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "cp932": "cp932"}
 
@@ -185,12 +187,16 @@ def value_after(cells: Column, label: str) -> Column:
     return F.coalesce(F.get(F.filter(follows, lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
 
-def feed_items(documents: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """(key, place, title, link, description, published_at) of each item with a link in an RSS feed."""
-    # An item may lack a tag, so items are cut apart before their tags are read.
-    item = documents.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(body), F.lit(r"(?s)(<item[ >].*?</item>)"), F.lit(1))).alias("place", "item"))
-    one = lambda tag: normalize_space(F.coalesce(F.xpath_string(F.col("item"), F.lit(f"/item/{tag}")), F.lit("")))
-    found = item.select(key, "place", one("title").alias("title"), one("link").alias("link"), one("description").alias("description"), one("pubDate").alias("published_at"))
+def feed_items(documents: DataFrame, key: str, body: str = "body", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns in ``also``, place, title, link, description, published_at) of each item with a link in an RSS feed."""
+    # An item may lack a tag, so items are cut apart before their tags are read. Arrays are changed step by step before they are exploded, so that no step is repeated for each use of what it gives (nor, as "outer", for a check that there are any).
+    # Most items hold nothing but elements of plain text, which need no XML parser (one run of it for each tag); all others go through it.
+    plain = lambda x: F.regexp_replace(x, rf"<([A-Za-z][\w.:-]*){ATTRIBUTES}>[^<&]*</\1>", "").rlike(rf"^<item{ATTRIBUTES}>\s*</item>$")
+    read = lambda x, tag: F.when(x["plain"], F.regexp_extract(x["item"], f"<{tag}{ATTRIBUTES}>([^<&]*)</{tag}>", 1)).otherwise(F.xpath_string(x["item"], F.lit(f"/item/{tag}")))
+    one = lambda x, tag: normalize_space(F.coalesce(read(x, tag), F.lit("")))
+    marked = F.transform(F.regexp_extract_all(F.col(body), F.lit(r"(?s)(<item[ >].*?</item>)"), F.lit(1)), lambda x: F.struct(x.alias("item"), plain(x).alias("plain")))
+    items = F.transform(marked, lambda x: F.struct(*[one(x, tag).alias(name) for tag, name in (("title", "title"), ("link", "link"), ("description", "description"), ("pubDate", "published_at"))]))
+    found = documents.select(F.col(key), *also, F.posexplode_outer(items).alias("place", "_item")).select(key, *also, "place", "_item.*")
     return found.filter("link <> ''").withColumn("published_at", F.when(F.col("published_at") != "", F.col("published_at")))
 
 

@@ -3,6 +3,8 @@
 import duckdb
 from test_queries import rows
 
+from convena.operators import collect
+from convena.plans import record_queries  # noqa: F401 (its queries are registered)
 from convena.plans.queries import ORACLE, QUERIES
 
 
@@ -28,3 +30,13 @@ def test_page_text(spark, tmp_path):
     html = ["<h1>A &amp; B &amp</h1><p>x &amp;lt; &nbsp; &quo &copy; &#39;&gt;&am</p>", "<h1>&amp;&amp;amp;&</h1>", ""]
     pages = f"SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {chr(39)}{h.replace(chr(39), chr(39) * 2)}{chr(39)})' for i, h in enumerate(html))}, (9, NULL)) v(page_id, html)"
     assert len(same(spark, tmp_path, "page_text", pages=pages)) == 3
+
+
+def test_feed_candidates(spark, tmp_path):
+    orders = "SELECT * FROM (VALUES (1::BIGINT), (2), (2), (2)) v(o_orderkey)"
+    assert len(same(spark, tmp_path, "feed_candidates", orders=orders)) == 4
+    # Items with plain elements only, and others, read the same.
+    items = ['<title>セミナー 1</title><link>/a</link>', '<title a="b"> セミナー\n1</title ><link>/a</link>', '<title><![CDATA[セミナー 1]]></title><link>/a</link>', '<x><title>no</title></x><title>セミナー &#49;</title><link>/a</link>', '<title>セ<b>ミナー</b> 1</title><link>/a</link>', '<x a="1>2">y</x><title>セミナー 1</title><link>/a</link><e/>']
+    docs = spark.createDataFrame([(i, "https://x.example/", f"<rss><item>{x}</item></rss>") for i, x in enumerate(items)], "key long, url string, body string")
+    got = collect.feed_candidates(docs).select("key", "title_hint", "detail_url").collect()
+    assert sorted(map(tuple, got)) == [(i, "セミナー 1", "https://x.example/a") for i in range(len(items))]
